@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, packing
+from . import chat, language, packing, simhash, toxicity
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_reply_tree_chat": chat.op4_reply_tree_chat,
+    "op5_multiple_instance_toxicity": toxicity.op5_multiple_instance_toxicity,
+    "op7_string_kernel_language": language.op7_string_kernel_language,
+    "op9_simhash_components": simhash.op9_simhash_components,
 }
 SQL = {"op4_reply_tree_chat": chat.SQL}

@@ -14,6 +14,8 @@ rows without conv_id form a conversation of their own; an empty table gives no r
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,31 +34,38 @@ def unescaped(c: Column) -> Column:
 
 
 def ancestor_tables(nodes: DataFrame) -> list[DataFrame]:
-    """Tables k = 0, 1, ... of (tree_id, node_id, anc, depth, total): anc is the 2^k-th ancestor (null beyond the
-    root), depth and total the number and the score of the nodes from node_id up to before anc. In the last one no
-    anc is left, but for nodes on or below a cycle."""
+    """Tables k = 0, 1, ... of (tree_id, node_id, anc, depth, total): anc is the 2^k-th ancestor, or null where the root
+    is nearer; depth and total are the number and the score of the nodes from node_id up to before anc. A node is in
+    table k only while table k - 1 had an ancestor for it, so short paths drop out of the later rounds. In the last
+    table no anc is left, but for nodes on or below a cycle."""
     own = nodes.select("tree_id", "node_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"))
     there = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("there")).distinct()
     first = own.join(there, ["tree_id", "parent_id"], "left")
     levels = [common.written(first.select("tree_id", "node_id", F.when(F.col("there"), F.col("parent_id")).alias("anc"), F.lit(1).alias("depth"), "total"), "anc")]
     n = levels[0].count()
     for _ in range(max(1, n.bit_length())):
-        now = levels[-1]
-        if now.where("anc is not null").isEmpty():
+        active = levels[-1].where("anc is not null")
+        if active.isEmpty():
             break
-        up = now.select("tree_id", F.col("node_id").alias("anc"), F.col("anc").alias("up"), F.col("depth").alias("more"), F.col("total").alias("gain"))
-        nxt = now.join(up, ["tree_id", "anc"], "left").select("tree_id", "node_id", F.col("up").alias("anc"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("total"))
+        known = active.unionByName(finished(levels))
+        up = known.select("tree_id", F.col("node_id").alias("anc"), F.col("anc").alias("up"), F.col("depth").alias("more"), F.col("total").alias("gain"))
+        nxt = active.join(up, ["tree_id", "anc"]).select("tree_id", "node_id", F.col("up").alias("anc"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("gain")).alias("total"))
         levels.append(common.written(nxt, "anc"))
     return levels
 
 
+def finished(levels: list[DataFrame]) -> DataFrame:
+    """The nodes whose root has been reached, with the depth and the score of their whole path."""
+    return reduce(DataFrame.unionByName, [level.where("anc is null") for level in levels])
+
+
 def reply_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     """The `per_tree` best root-to-leaf paths of each tree: (tree_id, leaf, branch_rank, path_score, node_id, above),
     one row for each node of a path; above counts the steps from the leaf. Ties go to the longer path, then the
     smaller leaf."""
     levels = ancestor_tables(nodes)
     inner = nodes.select("tree_id", F.col("parent_id").alias("node_id")).where("node_id is not null")
-    leaves = levels[-1].where("anc is null").join(inner, ["tree_id", "node_id"], "left_anti")
+    leaves = finished(levels).join(inner, ["tree_id", "node_id"], "left_anti")
     best = Window.partitionBy("tree_id").orderBy(F.desc("path_score"), F.desc("depth"), "node_id")
     leaves = leaves.withColumn("path_score", F.col("total") / F.col("depth")).withColumn("branch_rank", F.row_number().over(best)).where(F.col("branch_rank") <= per_tree)
     paths = leaves.select("tree_id", F.col("node_id").alias("leaf"), "branch_rank", "path_score", "node_id", F.lit(0).alias("above"))

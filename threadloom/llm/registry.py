@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, language, packing, simhash, toxicity
+from . import chat, decontaminate, language, packing, simhash, toxicity, url_filter
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_reply_tree_chat": chat.op4_reply_tree_chat,
     "op5_multiple_instance_toxicity": toxicity.op5_multiple_instance_toxicity,
+    "op6_seed_alignment_decontamination": decontaminate.op6_seed_alignment_decontamination,
     "op7_string_kernel_language": language.op7_string_kernel_language,
     "op9_simhash_components": simhash.op9_simhash_components,
+    "op10_temporal_url_filter": url_filter.op10_temporal_url_filter,
 }
-SQL = {"op4_reply_tree_chat": chat.SQL}
+SQL = {"op4_reply_tree_chat": chat.SQL, "op10_temporal_url_filter": url_filter.SQL}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, packing, simhash, toxicity, url_filter
+from . import chat, decontaminate, language, neighbours, packing, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op1_vantage_point_neighbours": neighbours.op1_vantage_point_neighbours,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_reply_tree_chat": chat.op4_reply_tree_chat,
     "op5_multiple_instance_toxicity": toxicity.op5_multiple_instance_toxicity,

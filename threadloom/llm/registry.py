@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, neighbours, packing, simhash, toxicity, url_filter
+from . import chat, decontaminate, language, neighbours, packing, pii, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_vantage_point_neighbours": neighbours.op1_vantage_point_neighbours,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_multiple_instance_toxicity": toxicity.op5_multiple_instance_toxicity,
     "op6_seed_alignment_decontamination": decontaminate.op6_seed_alignment_decontamination,
     "op7_string_kernel_language": language.op7_string_kernel_language,
+    "op8_boosted_candidates_pii": pii.op8_boosted_candidates_pii,
     "op9_simhash_components": simhash.op9_simhash_components,
     "op10_temporal_url_filter": url_filter.op10_temporal_url_filter,
 }

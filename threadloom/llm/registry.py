@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, neighbours, packing, pii, simhash, toxicity, url_filter
+from . import chat, decontaminate, language, neighbours, packing, pii, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_vantage_point_neighbours": neighbours.op1_vantage_point_neighbours,
+    "op2_columnwise_suffix_dedup": suffix_dedup.op2_columnwise_suffix_dedup,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_reply_tree_chat": chat.op4_reply_tree_chat,
     "op5_multiple_instance_toxicity": toxicity.op5_multiple_instance_toxicity,

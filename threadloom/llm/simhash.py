@@ -8,7 +8,7 @@ two fingerprints within 3 bits agree within 1 bit on one half at least, and ther
 A tree is grown on a bounded sample of fingerprints (its choice changes the cost, never the result): every inner node
 has a vantage point and the median distance to it, and its leaves are the shards. Each class goes to its home shard, and as a
 visitor to every shard that the triangle bound leaves within reach of 1 bit. Within a shard, all 64 bits decide
-exactly. Only links that join what was not joined yet leave a shard, so a group of n near copies gives n - 1 of them.
+exactly. (A wider radius works with more, shorter parts in the same way.) Only links that join what was not joined yet leave a shard, so a group of n near copies gives n - 1 of them.
 
 Defined cases: words are runs of anything but space and \\t \\n \\v \\f \\r, A-Z in lower case; fewer words than a shingle
 are one shingle; texts that are null, empty or blank have fingerprint zero and link like any other; a bit is 1 if it is set in over
@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, components
@@ -108,37 +108,41 @@ class Tree:
         return tuple(np.concatenate(c) for c in zip(*done, strict=True))
 
 
-def shard_links(fp: np.ndarray, node: np.ndarray, home: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links of the classes of one shard that join what was not joined yet; one side at least is at home."""
+def shard_links(fp: np.ndarray, node: np.ndarray, home: np.ndarray, levels: tuple[int, ...]) -> list[tuple[int, int]]:
+    """Links of the classes of one shard that join what was not joined yet; one side at least is at home. `levels`: the
+    distances up to which links are made in turn, the last one being the radius."""
     fp = fp.view(np.uint64)
     order = np.argsort(~home, kind="stable")
     fp, node, n_home = fp[order], node[order], int(home.sum())
     group, out = np.arange(len(fp)), []
     block = max(1, (4 << 20) // max(1, len(fp)))
-    for a in range(0, n_home, block):
-        rows = np.arange(a, min(a + block, n_home))
-        near = np.bitwise_count(fp[rows, None] ^ fp[None, :]) <= radius
-        near &= np.arange(len(fp))[None, :] > rows[:, None]
-        for r in np.flatnonzero(near.any(1)):
-            others = np.flatnonzero(near[r])
-            roots, first = np.unique(group[others], return_index=True)
-            new = roots != group[a + r]
-            if new.any():
-                out += [(int(node[a + r]), int(node[others[f]])) for f in first[new]]
-                group[np.isin(group, roots[new])] = group[a + r]
+    for level in levels:
+        for a in range(0, n_home, block):
+            rows = np.arange(a, min(a + block, n_home))
+            near = np.bitwise_count(fp[rows, None] ^ fp[None, :]) <= level
+            near &= np.arange(len(fp))[None, :] > rows[:, None]
+            for r in np.flatnonzero(near.any(1)):
+                others = np.flatnonzero(near[r])
+                roots, first = np.unique(group[others], return_index=True)
+                new = roots != group[a + r]
+                if new.any():
+                    out += [(int(node[a + r]), int(node[others[f]])) for f in first[new]]
+                    group[np.isin(group, roots[new])] = group[a + r]
     return out
 
 
-def class_links(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
-    """(u, v): links between classes (fp, node) of different fingerprints, enough to join all that are within `radius` bits."""
-    spark, reach = classes.sparkSession, radius // 2
+def class_links(classes: DataFrame, radius: int = RADIUS, parts: int = 2, levels: tuple[int, ...] = (), shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    """(u, v): links between classes (fp, node), enough to join all that are within `radius` bits; closer ones first, by `levels`.
+
+    Of two fingerprints within `radius` bits, one of the `parts` differs in at most radius // parts bits."""
+    spark, reach, width = classes.sparkSession, radius // parts, 64 // parts
     n = classes.count()
     share = min(1.0, sample / max(n, 1))
     picked = classes.select("fp").where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * share) + 1).limit(2 * sample)
     values = np.array(sorted(r["fp"] for r in picked.collect()), dtype=np.int64).view(np.uint64)  # bounded: the tree's shape only
     depth = min(DEEPEST, max(0, int(np.ceil(np.log2(max(n / shard, 1))))))
-    halves = [(values >> np.uint64(32 * k)).astype(np.uint32) for k in (0, 1)]
-    trees = spark.sparkContext.broadcast([Tree(h, depth, k) for k, h in enumerate(halves)])
+    cut = lambda x, k: ((x >> np.uint64(width * k)) & np.uint64((1 << width) - 1)).astype(np.uint32)
+    trees = spark.sparkContext.broadcast([Tree(cut(values, k), depth, k) for k in range(parts)])
 
     def route(it: Iterator) -> Iterator:
         import pyarrow as pa
@@ -146,16 +150,16 @@ def class_links(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD, sa
         for b in it:
             fp = b.column("fp").to_numpy().view(np.uint64)
             for k, tree in enumerate(trees.value):
-                i, leaf, home = tree.shards((fp >> np.uint64(32 * k)).astype(np.uint32), reach)
+                i, leaf, home = tree.shards(cut(fp, k), reach)
                 i_ = pa.array(i)
-                yield pa.RecordBatch.from_arrays([pa.array(2 * leaf + k), pa.array(home), b.column("fp").take(i_), b.column("node").take(i_)], names=["shard", "home", "fp", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(parts * leaf + k), pa.array(home), b.column("fp").take(i_), b.column("node").take(i_)], names=["shard", "home", "fp", "node"])
 
     def within(pdf):
         import pandas as pd
 
-        return pd.DataFrame(shard_links(pdf["fp"].to_numpy(), pdf["node"].to_numpy(), pdf["home"].to_numpy(), radius), columns=["u", "v"]).astype("int64")
+        return pd.DataFrame(shard_links(pdf["fp"].to_numpy(), pdf["node"].to_numpy(), pdf["home"].to_numpy(), levels or (radius,)), columns=["u", "v"]).astype("int64")
 
-    return classes.mapInArrow(route, "shard long, home boolean, fp long, node long").groupBy("shard").applyInPandas(within, "u long, v long")
+    return classes.select("fp", "node").mapInArrow(route, "shard long, home boolean, fp long, node long").groupBy("shard").applyInPandas(within, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -170,6 +174,71 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(found, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, set): the distinct hashes of the word shingles of each text."""
+
+    def work(it: Iterator) -> Iterator:
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest
+
+        for b in common.batches(it):
+            sets = []
+            for t in b.column("text").to_pylist():
+                w = t.encode("utf-8", "surrogatepass").lower().split()
+                h = {xxh64_intdigest(b" ".join(w[k : k + shingle])) for k in range(max(1, len(w) - shingle + 1))}
+                sets.append(np.array(sorted(h), dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "set"])
+
+    return common.whole_texts(docs).mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set array<long>")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 7) -> DataFrame:
+    """(doc_id, component_id, rows) of each doc_id: groups of texts that are equal word for word, or linked by a Jaccard similarity of
+    their word shingles of at least `similarity`, checked exactly, among pairs whose fingerprints differ in at most
+    `radius` bits (closest pairs first). rows: how many rows hold the id."""
+
+    def work(it: Iterator) -> Iterator:
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest
+
+        for b in common.batches(it):
+            out = []
+            for t in b.column("text").to_pylist():
+                same = b" ".join(t.encode("utf-8", "surrogatepass").lower().split())
+                out.append((fingerprint(t), xxh64_intdigest(same, 1), xxh64_intdigest(same, 2)))
+            cols = np.array(out, dtype=np.uint64).view(np.int64).T
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names=["doc_id", "fp", "c1", "c2"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    texts = common.whole_texts(docs).where("doc_id is not null")
+    prints = common.written(texts.mapInArrow(work, f"doc_id {id_type}, fp long, c1 long, c2 long"), "fingerprints")
+    classes = common.written(prints.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp")), "classes")
+    near = common.written(class_links(classes, radius, 4, (1, 3, 5, radius), 4096), "near")
+    held = near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    # of rows that repeat an id the first class's text counts
+    sets = common.written(shingle_sets(texts.join(held, "doc_id", "left_semi"), shingle).groupBy("doc_id").agg(F.max_by("set", F.size("set")).alias("set")), "sets")
+    both = near.join(sets.select(F.col("doc_id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("set").alias("b")), "v")
+    common_ = F.size(F.array_intersect("a", "b"))
+    alike = both.where(common_ >= similarity * (F.size("a") + F.size("b") - common_)).select("u", "v")
+    by_id = prints.join(classes, ["c1", "c2"]).select("doc_id", "node")
+    labels = components.connected(alike.unionByName(by_id.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))).where("u <> v"))
+    ids = prints.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    return ids.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"), "rows")
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The row of the smallest doc_id of each group of similar_groups(); rows without doc_id stay."""
+    groups = common.written(groups, "groups")
+    gone = groups.where("component_id <> doc_id").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    several = groups.where("component_id = doc_id and rows > 1").select("doc_id")
+    if several.isEmpty():
+        return kept.select(docs.columns)
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    one = docs.join(several, "doc_id", "left_semi").withColumn("k_", F.row_number().over(first)).where("k_ = 1")
+    return kept.join(several, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
+
+
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

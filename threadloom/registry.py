@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from threadloom.catalog import QUERIES, SQL
+from threadloom.operators import documents, graph, inventory, runtime
+
+__all__ = ["QUERIES", "SQL", "documents", "graph", "inventory", "runtime"]

@@ -85,7 +85,7 @@ STEPS = f"WITH {T.STEPS}"
 @query(
     "a14_span_canonical",
     f"""{EV} SELECT trace_id, span_id, min_by(event_id, (CASE phase WHEN 'start' THEN 0 ELSE 1 END, seen_at, event_id)) AS anchor, min_by(kind, (CASE phase WHEN 'start' THEN 0 ELSE 1 END, seen_at, event_id)) AS kind,
-  CAST(epoch_us(min(at)) AS BIGINT) AS first_us, CAST(epoch_us(max(at)) AS BIGINT) AS last_us, count(*) FILTER (phase = 'start') AS starts, count(*) AS events, count(*) FILTER (phase = 'start') > 1 AS ambiguous FROM runtime_events GROUP BY ALL""",
+  CAST(epoch_us(min(seen_at)) AS BIGINT) AS first_us, CAST(epoch_us(max(seen_at)) AS BIGINT) AS last_us, count(*) FILTER (phase = 'start') AS starts, count(*) AS events, count(*) FILTER (phase = 'start') > 1 AS ambiguous FROM runtime_events GROUP BY ALL""",
 )
 def a14(spark, sf_dir):
     s = canonical_spans(T.runtime_events(spark, sf_dir))

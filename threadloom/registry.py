@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from threadloom.catalog import QUERIES, SQL
-from threadloom.operators import documents, graph, inventory, runtime
+from threadloom.operators import documents, flows, graph, inventory, project, runtime
+from threadloom.sources import protocols
+from threadloom.streaming import spans
 
-__all__ = ["QUERIES", "SQL", "documents", "graph", "inventory", "runtime"]
+__all__ = ["QUERIES", "SQL", "documents", "flows", "graph", "inventory", "project", "protocols", "runtime", "spans"]

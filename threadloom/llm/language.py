@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -89,11 +90,13 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE, landmarks: int = LANDMA
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, *keep: str) -> DataFrame:
-    """doc_id, lang_pred and score (its share of the languages' exponential scores) of whole texts; `keep`: more columns."""
+    """doc_id, lang_pred and score (its share of the languages' exponential scores) of whole texts; `keep`: more columns,
+    none of them named like those three."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("whole_"), *keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "whole_"), "lang_pred string, score double"])
+    rest = [f for f in source.schema if f.name != "whole_"]
+    schema = T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def work(it: Iterator) -> Iterator:
         import pyarrow as pa
@@ -116,8 +119,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, *keep:
                 e /= e.sum(1, keepdims=True)
                 for i, k, s in zip(at, e.argmax(1), e.max(1), strict=True):
                     names[i], scores[i] = langs[k], float(s)
-            rest = [(n, b.column(n)) for n in b.schema.names if n != "whole_"]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in rest), pa.array(names), pa.array(scores)], names=[*(n for n, _ in rest), "lang_pred", "score"])
+            kept = [(n, b.column(n)) for n in b.schema.names if n != "whole_"]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(names), pa.array(scores)], names=[*(n for n, _ in kept), "lang_pred", "score"])
 
     return source.mapInArrow(work, schema)
 

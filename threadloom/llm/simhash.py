@@ -235,8 +235,9 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     if several.isEmpty():
         return kept.select(docs.columns)
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    one = docs.join(several, "doc_id", "left_semi").withColumn("k_", F.row_number().over(first)).where("k_ = 1")
-    return kept.join(several, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
+    row = F.struct(*(docs[c] for c in docs.columns))
+    one = docs.join(several, "doc_id", "left_semi").select(row.alias("row_"), F.row_number().over(first).alias("nth_")).where("nth_ = 1")
+    return kept.join(several, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(*(F.col("row_")[c].alias(c) for c in docs.columns)))
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

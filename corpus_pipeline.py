@@ -19,9 +19,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(language.training_rows(docs))
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    keep = [c for c in docs.columns if c not in ("doc_id",)]
-    out = language.predict(docs, model, *keep)
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row_"))
+    out = language.predict(rows, model, "row_").where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return out.select(*(F.col("row_")[c].alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,7 +159,8 @@ def removed_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             yield pa.RecordBatch.from_arrays([b.column("k1").take(t), b.column("k2").take(t), pa.array(h), pa.array(at), pa.array(lo), pa.array(hi)], names=["k1", "k2", "anchor", "at", "lo", "hi"])
 
     every = common.written(rows.select("k1", "k2", "text").mapInArrow(find, "k1 long, k2 long, anchor long, at long, lo long, hi long"), "anchors")
-    often = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that the join has a plain exchange on either side, and a frequent anchor's partition can be split
+    often = common.written(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "often")
     kept = every.join(often, "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "lo", "hi", "anchor", (F.col("n") > hot).alias("hot"))).alias("found"))
 
     def contexts(it: Iterator) -> Iterator:
@@ -186,7 +187,7 @@ def removed_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["k1", "k2", "lo", "anchor", "hot", "before", "digest", "copies", "body"])
 
     held = common.written(rows.join(kept, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInArrow(contexts, "k1 long, k2 long, lo long, anchor long, hot boolean, before int, digest binary, copies long, body binary"), "contexts")
-    common.drop_written(every)
+    common.drop_written(every, often)
     bodies = held.where("body is not null").select("anchor", "hot", "before", "digest", "copies", "body")
 
     def construct(it: Iterator) -> Iterator:

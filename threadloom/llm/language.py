@@ -74,19 +74,25 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE, landmarks: int = LANDMA
         return None
     rows = sorted(rows, key=lambda r: (r["lang"], bytes(r["bits"])))
     langs = sorted({r["lang"] for r in rows})
-    x = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), dtype=np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), dtype=np.uint8).reshape(len(rows), -1)
     y = np.array([[1.0 if r["lang"] == k else -1.0 for k in langs] for r in rows])
     marks = np.concatenate([[i for i, r in enumerate(rows) if r["lang"] == k][:landmarks] for k in langs]).astype(int)
-    z = x[marks]
-    values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
+
+    def presence(some: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(some, axis=1).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+    z = presence(bits[marks])
+    # bitmaps are unpacked a block at a time: all of them at once would be the driver's largest object
+    kernel = np.vstack([presence(bits[k : k + 64]) @ z.T for k in range(0, len(bits), 64)]).astype(np.float64)
+    values, vectors = np.linalg.eigh(kernel[marks])
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    phi = np.hstack([(x @ z.T).astype(np.float64) @ root, np.ones((len(rows), 1))])
+    phi = np.hstack([kernel @ root, np.ones((len(rows), 1))])
     weight = (1 / (y > 0).sum(0))[(y > 0).argmax(1)][:, None]  # languages count alike
     beta = np.linalg.solve(phi.T @ (phi * weight) + ridge * np.eye(phi.shape[1]) * weight.mean(), phi.T @ (y * weight))
-    folded = z.T.astype(np.float64) @ (root @ beta[:-1])
-    return langs, np.vstack([folded, beta[-1:]])
+    folded = z.T @ (root @ beta[:-1]).astype(np.float32)
+    return langs, np.vstack([folded.astype(np.float64), beta[-1:]])
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, *keep: str) -> DataFrame:

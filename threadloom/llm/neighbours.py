@@ -173,8 +173,7 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, factor: float =
                 if not b.num_rows:
                     continue
                 x = np.stack(b.column("v").to_numpy(zero_copy_only=False))
-                bound, _ = tree.reach(as_query(x, most))
-                _, home = tree.reach(as_query(x, most))
+                bound, home = tree.reach(as_query(x, most))
                 if first:
                     i, shard, limit = np.arange(len(x)), home, np.full(len(x), np.inf)
                 else:

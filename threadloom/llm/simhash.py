@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from . import common, components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
-#: Classes in a shard, about, and the deepest tree; SAMPLE fingerprints at most decide its shape.
-SHARD, DEEPEST, SAMPLE = 512, 16, 40_000
+#: Classes in a shard, about, and the deepest tree.
+SHARD, DEEPEST = 512, 20
+#: Fingerprints that decide a tree's shape: so many, or one in 64 of more, up to the second number (16 MB).
+SAMPLE = (40_000, 2_000_000)
 BYTE_AT = np.arange(8, dtype=np.int64)[None, :] * 256
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
@@ -131,12 +133,13 @@ def shard_links(fp: np.ndarray, node: np.ndarray, home: np.ndarray, levels: tupl
     return out
 
 
-def class_links(classes: DataFrame, radius: int = RADIUS, parts: int = 2, levels: tuple[int, ...] = (), shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+def class_links(classes: DataFrame, radius: int = RADIUS, parts: int = 2, levels: tuple[int, ...] = (), shard: int = SHARD) -> DataFrame:
     """(u, v): links between classes (fp, node), enough to join all that are within `radius` bits; closer ones first, by `levels`.
 
     Of two fingerprints within `radius` bits, one of the `parts` differs in at most radius // parts bits."""
     spark, reach, width = classes.sparkSession, radius // parts, 64 // parts
     n = classes.count()
+    sample = min(max(SAMPLE[0], n // 64), SAMPLE[1])
     share = min(1.0, sample / max(n, 1))
     picked = classes.select("fp").where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * share) + 1).limit(2 * sample)
     values = np.array(sorted(r["fp"] for r in picked.collect()), dtype=np.int64).view(np.uint64)  # bounded: the tree's shape only

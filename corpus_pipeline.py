@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from threadloom.llm import common, decontaminate, language, packing, pii, simhash
 
 #: A text goes if it has no letter, or if its language's share of the score is below this.
-LEAST_LANGUAGE_SCORE = 0.3
+LEAST_LANGUAGE_SCORE = 0.15
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

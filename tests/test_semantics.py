@@ -117,3 +117,15 @@ def test_openapi_and_source_tree(spark, tmp_path):
 def test_trace_lines_refuse_unknown_fields(spark):
     rows = spark.createDataFrame([('@t {"event": 1, "trace": "x"}',), ('@t {"event": 1, "trace": "x", "more": 2}',), ("other",), ("@t not json",)], "value string")
     assert [r.event for r in protocols.trace_lines(rows, "@t ").collect()] == [1]
+
+
+def test_python_facts_and_environment(spark):
+    from threadloom.operators import extract
+
+    code = 'import os\nfrom fastapi import FastAPI\napp = FastAPI()\nclass Shop:\n    def sell(self):\n        return pay(1)\n@app.get("/items")\ndef items():\n    return os.environ["SHOP_KEY"] + os.getenv("REGION")\n'
+    files = spark.createDataFrame([("a.py", code), ("b.py", "not python("), ("c.ts", "process.env.PORT"), ("d.py", None)], "relative_path string, text string")
+    facts = {(r.kind, r.label, r.owner) for r in extract.python_facts(files).collect()}
+    assert {("class", "Shop", None), ("method", "sell", "Shop"), ("function", "items", None), ("endpoint", "GET /items", "items"), ("callTarget", "pay", "sell")} <= facts
+    edges = {(r.source, r.target) for r in extract.contains_edges(extract.python_facts(files)).collect()}
+    assert ("a.py#Shop", "a.py#sell") in edges and ("a.py", "a.py#Shop") in edges
+    assert {(r.relative_path, r.name) for r in extract.environment_names(files).collect()} == {("a.py", "SHOP_KEY"), ("a.py", "REGION"), ("c.ts", "PORT")}

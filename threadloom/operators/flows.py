@@ -166,13 +166,13 @@ def declarations(spark, sf_dir) -> DataFrame:
     return T.nodes(spark, sf_dir).where(F.col("kind").isin("service", "repository", "controller", "model", "class")).select("id", "label")
 
 
-@query("g19_resolution_edges", f"{CALLS} SELECT source, callee, target, 'resolvesTo' AS kind, 'inferred' AS evidence, 0.6 AS confidence FROM resolved")
+@query("g19_resolution_edges", f"{CALLS} SELECT source, callee, target, 'resolvesTo' AS kind, 'inferred' AS evidence, CAST(0.6 AS DOUBLE) AS confidence FROM resolved")
 def g19(spark, sf_dir):
     r = resolve_calls(calls(spark, sf_dir), declarations(spark, sf_dir))
     return r.select("source", "callee", "target", F.lit("resolvesTo").alias("kind"), F.lit("inferred").alias("evidence"), F.lit(0.6).alias("confidence"))
 
 
-@query("g4_call_collapse", f"{CALLS} SELECT c.source, coalesce(r.target, 'call:' || c.callee) AS target, CASE WHEN r.target IS NULL THEN 'declared' ELSE 'inferred' END AS evidence, CASE WHEN r.target IS NULL THEN 0.55 ELSE least(0.55, 0.6) END AS confidence, r.target IS NOT NULL AS candidate_only FROM calls c LEFT JOIN resolved r ON r.source = c.source AND r.callee = c.callee")
+@query("g4_call_collapse", f"{CALLS} SELECT c.source, coalesce(r.target, 'call:' || c.callee) AS target, CASE WHEN r.target IS NULL THEN 'declared' ELSE 'inferred' END AS evidence, CAST(CASE WHEN r.target IS NULL THEN 0.55 ELSE least(0.55, 0.6) END AS DOUBLE) AS confidence, r.target IS NOT NULL AS candidate_only FROM calls c LEFT JOIN resolved r ON r.source = c.source AND r.callee = c.callee")
 def g4(spark, sf_dir):
     """A call and its one resolution become one edge, of the weaker evidence and the smaller confidence; others stay as they are."""
     c = calls(spark, sf_dir)

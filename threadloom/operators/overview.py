@@ -144,7 +144,7 @@ def g15(spark, sf_dir):
     f"""WITH {T.EVENTS}, {T.NODES}, last AS (SELECT * FROM runtime_events ORDER BY event_id DESC LIMIT 80),
   s AS (SELECT trace_id, trace_id || '/' || span_id AS id, arg_min(node_id, (CASE phase WHEN 'start' THEN 0 ELSE 1 END, event_id)) AS node_id, min(event_id) AS first_id FROM last GROUP BY trace_id, span_id),
   p AS (SELECT lag(id) OVER (PARTITION BY trace_id ORDER BY first_id) AS source, id AS target FROM s)
-  SELECT s.id AS source, s.node_id AS target, 'observedAt' AS kind, 'observed' AS evidence, 1.0 AS confidence FROM s JOIN nodes n ON n.id = s.node_id UNION ALL SELECT source, target, 'parentSpan', 'observed', 1.0 FROM p WHERE source IS NOT NULL""",
+  SELECT s.id AS source, s.node_id AS target, 'observedAt' AS kind, 'observed' AS evidence, CAST(1.0 AS DOUBLE) AS confidence FROM s JOIN nodes n ON n.id = s.node_id UNION ALL SELECT source, target, 'parentSpan', 'observed', CAST(1.0 AS DOUBLE) FROM p WHERE source IS NOT NULL""",
 )
 def g20(spark, sf_dir):
     return runtime_projection(T.runtime_events(spark, sf_dir), T.nodes(spark, sf_dir))

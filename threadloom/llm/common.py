@@ -47,6 +47,18 @@ def drop_written(*frames: DataFrame | None) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Ids (numbers) that a join may broadcast, once they are counted: 16 MB or so. More of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def join_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs joined on doc_id ("left_semi" or "left_anti") with a table of ids. It is written and counted first: a few ids are
+    broadcast, so that whole texts aren't shuffled for them."""
+    ids = written(ids.select("doc_id").distinct(), "ids")
+    few = ids.schema["doc_id"].dataType.simpleString() in ("bigint", "int") and ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
+
+
 def whole_texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and named further columns; any other columns are left behind."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)

@@ -178,21 +178,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, set): the distinct hashes of the word shingles of each text."""
+    """(doc_id, set): the distinct hashes of the word shingles of each text, of 32 bits each (two of a pair of texts of 500 words
+    meet by chance once in 16,000 pairs)."""
 
     def work(it: Iterator) -> Iterator:
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
+        from xxhash import xxh32_intdigest
 
         for b in common.batches(it):
             sets = []
             for t in b.column("text").to_pylist():
                 w = t.encode("utf-8", "surrogatepass").lower().split()
-                h = {xxh64_intdigest(b" ".join(w[k : k + shingle])) for k in range(max(1, len(w) - shingle + 1))}
-                sets.append(np.array(sorted(h), dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "set"])
+                h = {xxh32_intdigest(b" ".join(w[k : k + shingle])) for k in range(max(1, len(w) - shingle + 1))}
+                sets.append(np.array(sorted(h), dtype=np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "set"])
 
-    return common.whole_texts(docs).mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set array<long>")
+    return common.whole_texts(docs).mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set array<int>")
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 7) -> DataFrame:
@@ -216,10 +217,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     texts = common.whole_texts(docs).where("doc_id is not null")
     prints = common.written(texts.mapInArrow(work, f"doc_id {id_type}, fp long, c1 long, c2 long"), "fingerprints")
     classes = common.written(prints.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp")), "classes")
-    near = common.written(class_links(classes, radius, 4, (1, 3, 5, radius), 4096), "near")
-    held = near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    near = class_links(classes, radius, 4, (1, 3, 5, radius), 4096)
+    near = common.written(near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "near")
+    held = near.select(F.explode(F.array("u", "v")).alias("doc_id"))
     # of rows that repeat an id the first class's text counts
-    sets = common.written(shingle_sets(texts.join(held, "doc_id", "left_semi"), shingle).groupBy("doc_id").agg(F.max_by("set", F.size("set")).alias("set")), "sets")
+    sets = common.written(shingle_sets(common.join_ids(texts, held, "left_semi"), shingle).groupBy("doc_id").agg(F.max_by("set", F.size("set")).alias("set")), "sets")
     both = near.join(sets.select(F.col("doc_id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("set").alias("b")), "v")
     common_ = F.size(F.array_intersect("a", "b"))
     alike = both.where(common_ >= similarity * (F.size("a") + F.size("b") - common_)).select("u", "v")
@@ -232,8 +234,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The row of the smallest doc_id of each group of similar_groups(); rows without doc_id stay."""
     groups = common.written(groups, "groups")
-    gone = groups.where("component_id <> doc_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = common.join_ids(docs, groups.where("component_id <> doc_id"), "left_anti")
     several = groups.where("component_id = doc_id and rows > 1").select("doc_id")
     if several.isEmpty():
         return kept.select(docs.columns)

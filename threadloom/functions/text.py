@@ -175,7 +175,7 @@ def has_part(path: Column, *names: str) -> Column:
 def flow_stage(kind: Column, label: Column, path: Column, role: Column, route: Column) -> Column:
     """The stage of a node in an execution flow; the first rule that holds decides."""
     k, name = ascii_fold(kind), ascii_fold(label)
-    backend = has_part(path, "backend", "server", "servers", "api", "src-tauri") | ascii_fold(path).contains("src-tauri")
+    backend = has_part(path, "backend", "server", "servers", "api")
     frontend = has_part(path, "frontend", "web", "ui", "components", "pages", "views") | ascii_fold(path).endswith(".tsx")
     data = k.isin("database", "repository", "model", "entity", "schema", "table", "store", "cache", "dao") | name.contains("repository") | (backend & has_part(path, "repository", "repositories", "storage"))
     consumer = (k == "api") & (role == "consumer")

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
+from tests.llm.test_operators import groups_of
 from threadloom.llm import common, simhash
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -70,6 +71,26 @@ def test_groups_hold_only_what_links_allow(spark):
     assert all(len({of[i] for i in same}) == 1 for same in copies.values())
 
 
+def test_groups_are_those_of_all_pairs(spark, monkeypatch):
+    """Short texts of one template: many are within the radius, and few of those alike enough, so a forest of the near pairs isn't enough."""
+    monkeypatch.setattr(simhash, "TILE", 64, raising=False)
+    rng = np.random.default_rng(12)
+    template = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(300):
+        w = list(template)
+        for k in rng.choice(120, rng.integers(1, 5), replace=False):
+            w[k] = f"e{rng.integers(0, 4)}"
+        texts.append(" ".join(w))
+    bits = [simhash.fingerprint(t) for t in texts]
+    pairs = [(a, b) for a in range(300) for b in range(a) if (bits[a] ^ bits[b]).bit_count() <= 7]
+    alike = [(a, b) for a, b in pairs if five_word_similarity(texts[a], texts[b]) >= 0.8]
+    assert 0 < len(alike) < len(pairs) / 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert [got[i] for i in range(300)] == groups_of(300, alike)
+
+
 def test_stages_drop_what_they_should_and_nothing_else(spark, documents):
     d, _, _ = planted(spark)
     kept = STAGES["language_id"](spark, documents, SMALL)

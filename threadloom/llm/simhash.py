@@ -29,6 +29,8 @@ from . import common, components
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Classes in a shard, about, and the deepest tree.
 SHARD, DEEPEST = 512, 20
+#: Rows of a tile in which pairs are checked on their shingles.
+TILE = 2048
 #: Fingerprints that decide a tree's shape: so many, or one in 64 of more, up to the second number (16 MB).
 SAMPLE = (40_000, 2_000_000)
 BYTE_AT = np.arange(8, dtype=np.int64)[None, :] * 256
@@ -133,10 +135,11 @@ def shard_links(fp: np.ndarray, node: np.ndarray, home: np.ndarray, levels: tupl
     return out
 
 
-def class_links(classes: DataFrame, radius: int = RADIUS, parts: int = 2, levels: tuple[int, ...] = (), shard: int = SHARD) -> DataFrame:
-    """(u, v): links between classes (fp, node), enough to join all that are within `radius` bits; closer ones first, by `levels`.
+def sharded(classes: DataFrame, radius: int, parts: int, shard: int) -> DataFrame:
+    """(shard, home, and the columns of classes (fp, ...)): each class in its home shards, and as a visitor where one within `radius` bits may live.
 
-    Of two fingerprints within `radius` bits, one of the `parts` differs in at most radius // parts bits."""
+    Of two fingerprints within `radius` bits, one of the `parts` differs in at most radius // parts bits, so some shard holds both, and one
+    of them at home."""
     spark, reach, width = classes.sparkSession, radius // parts, 64 // parts
     n = classes.count()
     sample = min(max(SAMPLE[0], n // 64), SAMPLE[1])
@@ -155,14 +158,90 @@ def class_links(classes: DataFrame, radius: int = RADIUS, parts: int = 2, levels
             for k, tree in enumerate(trees.value):
                 i, leaf, home = tree.shards(cut(fp, k), reach)
                 i_ = pa.array(i)
-                yield pa.RecordBatch.from_arrays([pa.array(parts * leaf + k), pa.array(home), b.column("fp").take(i_), b.column("node").take(i_)], names=["shard", "home", "fp", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(parts * leaf + k), pa.array(home), *(c.take(i_) for c in b.columns)], names=["shard", "home", *b.schema.names])
+
+    return classes.mapInArrow(route, "shard long, home boolean, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema))
+
+
+def class_links(classes: DataFrame, radius: int = RADIUS, parts: int = 2, levels: tuple[int, ...] = (), shard: int = SHARD) -> DataFrame:
+    """(u, v): links between classes (fp, node), enough to join all that are within `radius` bits; closer ones first, by `levels`."""
 
     def within(pdf):
         import pandas as pd
 
         return pd.DataFrame(shard_links(pdf["fp"].to_numpy(), pdf["node"].to_numpy(), pdf["home"].to_numpy(), levels or (radius,)), columns=["u", "v"]).astype("int64")
 
-    return classes.select("fp", "node").mapInArrow(route, "shard long, home boolean, fp long, node long").groupBy("shard").applyInPandas(within, "u long, v long")
+    return sharded(classes.select("fp", "node"), radius, parts, shard).groupBy("shard").applyInPandas(within, "u long, v long")
+
+
+def open_nodes(classes: DataFrame, radius: int, parts: int, shard: int) -> DataFrame:
+    """(node): the classes (fp, node, comp) that have one of another component within `radius` bits."""
+
+    def within(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("home", ascending=False, kind="stable")
+        fp, comp, n_home = pdf["fp"].to_numpy().view(np.uint64), pdf["comp"].to_numpy(), int(pdf["home"].sum())
+        found, block = np.zeros(len(fp), dtype=bool), max(1, (4 << 20) // max(1, len(fp)))
+        for a in range(0, n_home, block):
+            rows = slice(a, min(a + block, n_home))
+            near = (np.bitwise_count(fp[rows, None] ^ fp[None, :]) <= radius) & (comp[rows, None] != comp[None, :])
+            found[rows] |= near.any(1)
+            found |= near.any(0)
+        return pd.DataFrame({"node": pdf["node"].to_numpy()[found]})
+
+    return sharded(classes.select("fp", "node", "comp"), radius, parts, shard).groupBy("shard").applyInPandas(within, "node long").distinct()
+
+
+def tile_links(pdf, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links of one tile: pairs of a home row and any row that are within `radius` bits and have the Jaccard similarity of their sets, as far
+    as they join components that neither `comp` nor an earlier link of the tile joined."""
+    own = pdf["left"].to_numpy()
+    fp, node = pdf["fp"].to_numpy().view(np.uint64), pdf["node"].to_numpy()
+    if not own.any() or own.all():
+        return []
+    size = np.fromiter(map(len, pdf["set"]), dtype=np.int64, count=len(pdf))
+    _, words = np.unique(np.concatenate(pdf["set"].to_list()), return_inverse=True)
+    begin, held = np.cumsum(size) - size, np.zeros(int(words.max()) + 1, dtype=np.int64)
+    _, group = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
+    right, out = np.flatnonzero(~own), []
+    for r in np.flatnonzero(own):
+        near = right[(np.bitwise_count(fp[right] ^ fp[r]) <= radius) & (group[right] != group[r])]
+        # the most that sets of such sizes could have in common
+        near = near[np.minimum(size[near], size[r]) >= similarity * np.maximum(size[near], size[r])]
+        if not len(near):
+            continue
+        mine = words[begin[r] : begin[r] + size[r]]
+        held[mine] = 1
+        ends = np.cumsum(size[near])
+        flat = np.repeat(begin[near] - ends + size[near], size[near]) + np.arange(ends[-1])
+        both = np.add.reduceat(held[words[flat]], ends - size[near])
+        held[mine] = 0
+        for o in near[both >= similarity * (size[near] + size[r] - both)]:
+            if group[o] != group[r]:
+                out.append((int(node[r]), int(node[o])))
+                group[group == group[o]] = group[r]
+    return out
+
+
+def verified_links(classes: DataFrame, sets: DataFrame, similarity: float, radius: int, parts: int, shard: int) -> DataFrame:
+    """(u, v): links between classes (fp, node, comp), enough to join all that are within `radius` bits and alike by their sets (doc_id, set).
+    A shard is worked off in tiles, each of a block of its home rows and a block of all of its rows."""
+    placed = common.written(sharded(classes.select("fp", "node", "comp"), radius, parts, shard), "placed")
+    blocks = placed.groupBy("shard").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
+    held = placed.join(F.broadcast(blocks), "shard").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    columns = ["shard", "i", "j", "left", "fp", "node", "comp"]
+    left = held.where("home").withColumns({"i": F.col("block"), "j": every, "left": F.lit(True)}).select(columns)
+    right = held.withColumns({"i": every, "j": F.col("block"), "left": F.lit(False)}).select(columns)
+    tiles = left.unionByName(right).join(sets.withColumnRenamed("doc_id", "node"), "node")
+
+    def within(pdf):
+        import pandas as pd
+
+        return pd.DataFrame(tile_links(pdf, radius, similarity), columns=["u", "v"]).astype("int64")
+
+    return tiles.groupBy("shard", "i", "j").applyInPandas(within, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -198,8 +277,11 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 7) -> DataFrame:
     """(doc_id, component_id, rows) of each doc_id: groups of texts that are equal word for word, or linked by a Jaccard similarity of
-    their word shingles of at least `similarity`, checked exactly, among pairs whose fingerprints differ in at most
-    `radius` bits (closest pairs first). rows: how many rows hold the id."""
+    their word shingles of at least `similarity`, checked exactly, among all pairs whose fingerprints differ in at most
+    `radius` bits. rows: how many rows hold the id.
+
+    A first round checks a spanning forest of those pairs, which joins most of what belongs together. Then every class that still has one of
+    another group within the radius is compared with all such, on the shingles themselves."""
 
     def work(it: Iterator) -> Iterator:
         import pyarrow as pa
@@ -217,7 +299,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     texts = common.whole_texts(docs).where("doc_id is not null")
     prints = common.written(texts.mapInArrow(work, f"doc_id {id_type}, fp long, c1 long, c2 long"), "fingerprints")
     classes = common.written(prints.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp")), "classes")
-    near = class_links(classes, radius, 4, (1, 3, 5, radius), 4096)
+    parts, shard = 4, 4096
+    near = class_links(classes, radius, parts, (1, 3, 5, radius), shard)
     near = common.written(near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "near")
     held = near.select(F.explode(F.array("u", "v")).alias("doc_id"))
     # of rows that repeat an id the first class's text counts
@@ -227,6 +310,13 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     alike = both.where(common_ >= similarity * (F.size("a") + F.size("b") - common_)).select("u", "v")
     by_id = prints.join(classes, ["c1", "c2"]).select("doc_id", "node")
     labels = components.connected(alike.unionByName(by_id.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))).where("u <> v"))
+    lone = classes.select("fp", "node").join(sets.select(F.col("doc_id").alias("node")), "node", "left_semi")
+    left = common.written(lone.join(labels, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("comp")), "left")
+    open_ = common.written(open_nodes(left, radius, parts, shard), "open")
+    if not open_.isEmpty():
+        more = common.written(verified_links(left.join(open_, "node", "left_semi"), sets, similarity, radius, parts, shard), "more")
+        if not more.isEmpty():
+            labels = components.connected(more.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     ids = prints.groupBy("doc_id").agg(F.count("*").alias("rows"))
     return ids.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"), "rows")
 

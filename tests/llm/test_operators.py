@@ -265,6 +265,17 @@ def test_decontamination_finds_edited_copies(spark, documents, empty):
     decontaminate.contaminated(documents, b).collect()
 
 
+@pytest.mark.parametrize("copies", [7, 8, 300])
+def test_decontamination_finds_edited_copies_however_many(spark, copies):
+    w = [f"v{k}" for k in range(20)]
+    edited = " ".join(x if k % 5 else f"changed{k}" for k, x in enumerate(w))
+    docs = [(i, f"filler number {i} before {edited} and after") for i in range(copies)] + [(9000, " ".join(w))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    found = decontaminate.contaminated(d, b).collect()
+    assert sorted(r.doc_id for r in found) == [*range(copies), 9000]
+    assert {(r.start_word, r.end_word) for r in found} == {(5, 24), (0, 20)}
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     d, b = table(spark, "documents"), table(spark, "benchmark")
     once = {tuple(r) for r in decontaminate.contaminated(d, b).collect()}

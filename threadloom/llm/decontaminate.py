@@ -1,10 +1,10 @@
-"""Operator 6: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Operator 6: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
-Texts become lower-case words. Every run of SEED words of a test item is a seed; where a document holds a seed, the
-window that the item would span around it (with SLACK of its length on either side) is kept, as word numbers of the benchmark's own
-vocabulary. Seeds are then ranked by how many documents of the whole corpus hold them: a seed that far more documents hold
-than the item's median seed is a common phrase and opens no window. Windows with a rare seed are aligned with the item
-by Smith-Waterman over words (match 2, mismatch and gap -1); a score of at least THRESHOLD of the item's own marks a copy.
+Texts become lower-case words. Every run of SEED words of a test item is a seed, however many documents hold it; where a document
+holds a seed, the window that the item would span around it (with SLACK of its length on either side) is kept, as word numbers of the
+benchmark's own vocabulary, unless it holds too few of the item's words for any alignment to reach the threshold. Windows are aligned
+with the item by Smith-Waterman over words (match 2, mismatch and gap -1), equal ones of a batch once; a score of at least
+THRESHOLD of the item's own marks a copy.
 
 The benchmark side is broadcast: its words are counted first, and beyond BLOCK_WORDS it is worked off in blocks of
 items, each over all documents. Nothing of the corpus is broadcast or collected; windows are a small share of it.
@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 from . import common
 
 SEED, SLACK, THRESHOLD = 3, 0.5, 0.5
-#: A seed is common if over RARE times as many documents hold it as hold the item's median seed (of those found).
-RARE = 8
 BLOCK_WORDS = 5_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORDS = re.compile(r"[^\W_]+").findall
@@ -65,8 +63,8 @@ class SeedIndex:
         out[bad] = -1
         return out
 
-    def windows(self, text: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(item, first word, word numbers, seeds held) of each window of a text."""
+    def windows(self, text: str) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(item, first word, word numbers) of each window of a text."""
         found = words(text)
         a = np.fromiter(map(self.vocabulary.get, found, repeat(-1)), dtype=np.int64, count=len(found))
         keys = self.keys(a)
@@ -76,15 +74,15 @@ class SeedIndex:
         if not n.sum():
             return
         entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, start, key = self.item[entry], np.repeat(place, n) - self.offset[entry], self.key[entry]
+        item, start = self.item[entry], np.repeat(place, n) - self.offset[entry]
         order = np.lexsort((start, item))
-        item, start, key = item[order], start[order], key[order]
+        item, start = item[order], start[order]
         slack = np.array([max(4, int(SLACK * len(self.items[k]))) for k in range(len(self.ids))])[item]
         cuts = np.flatnonzero((np.diff(item) != 0) | (np.diff(start) > slack[1:])) + 1
         for part in np.split(np.arange(len(item)), cuts):
             k, s = int(item[part[0]]), int(slack[part[0]])
             first = max(0, int(start[part[0]]) - s)
-            yield k, first, a[first : int(start[part[-1]]) + len(self.items[k]) + s], np.unique(key[part])
+            yield k, first, a[first : int(start[part[-1]]) + len(self.items[k]) + s]
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,55 +132,44 @@ def _in_block(spark: SparkSession, docs: DataFrame, items: list[tuple[int, str]]
         for b in common.batches(it):
             ids, cols = b.column("doc_id"), defaultdict(list)
             for i, t in enumerate(b.column("text").to_pylist()):
-                for item, first, window, seeds in index.windows(t):
+                for item, first, window in index.windows(t):
+                    # the most that an alignment could score, before it is made
+                    if np.isin(index.items[item], window).mean() < threshold:
+                        continue
                     cols["i"].append(i)
                     cols["item"].append(item)
                     cols["first"].append(first)
                     cols["window"].append(window)
-                    cols["seeds"].append(seeds)
             if cols:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols["i"])), pa.array(cols["item"], pa.int32()), pa.array(cols["first"], pa.int64()), pa.array(cols["window"], pa.list_(pa.int64())), pa.array(cols["seeds"], pa.list_(pa.int64()))], names=["doc_id", "item", "first", "window", "seeds"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols["i"])), pa.array(cols["item"], pa.int32()), pa.array(cols["first"], pa.int64()), pa.array(cols["window"], pa.list_(pa.int64()))], names=["doc_id", "item", "first", "window"])
 
-    scanned = common.whole_texts(docs).where("doc_id is not null").mapInArrow(scan, f"doc_id {id_type}, item int, first long, window array<long>, seeds array<long>")
+    scanned = common.whole_texts(docs).where("doc_id is not null").mapInArrow(scan, f"doc_id {id_type}, item int, first long, window array<long>")
     windows = common.written(scanned, "windows")
-    held = windows.select("doc_id", "item", F.explode("seeds").alias("seed")).distinct().groupBy("item", "seed").agg(F.count("*").alias("docs"))
-    middle = held.groupBy("item").agg(F.percentile("docs", F.lit(0.5)).alias("middle"))
-    common_ = held.join(middle, "item").where(F.col("docs") > RARE * F.col("middle")).select("item", "seed")
-    refused = defaultdict(set)
-    for r in common_.collect():  # at most the seeds of a block
-        refused[r["item"]].add(r["seed"])
-    frequent = spark.sparkContext.broadcast(dict(refused))
-
     def score(it: Iterator) -> Iterator:
         import pyarrow as pa
 
         index = SeedIndex(shared.value)
         for b in it:
-            ids, rows = b.column("doc_id"), []
-            for i, (item, first, window, seeds) in enumerate(zip(*(b.column(c).to_pylist() for c in ("item", "first", "window", "seeds")), strict=True)):
-                a, w = index.items[item], np.array(window, dtype=np.int64)
-                # the most that an alignment could score, before it is made
-                if set(seeds) - frequent.value.get(item, set()) and np.isin(a, w).mean() >= threshold:
-                    rows.append((i, item, first, a, w))
-            rows.sort(key=lambda r: (len(r[3]), len(r[4])))
+            ids, same = b.column("doc_id"), defaultdict(list)
+            for i, (item, first, window) in enumerate(zip(*(b.column(c).to_pylist() for c in ("item", "first", "window")), strict=True)):
+                same[item, np.array(window, dtype=np.int64).tobytes()].append((i, first))
+            rows = [(at, item, index.items[item], np.frombuffer(w, dtype=np.int64)) for (item, w), at in same.items()]
+            rows.sort(key=lambda r: (len(r[2]), len(r[3])))
             for k in range(0, len(rows), 256):
                 part = rows[k : k + 256]
-                best, end = align([r[3] for r in part], [r[4] for r in part])
-                good = [j for j, r in enumerate(part) if best[j] >= threshold * MATCH * len(r[3])]
+                best, end = align([r[2] for r in part], [r[3] for r in part])
+                good = [j for j, r in enumerate(part) if best[j] >= threshold * MATCH * len(r[2])]
                 if not good:
                     continue
-                _, back = align([part[j][3][::-1] for j in good], [part[j][4][: end[j] + 1][::-1] for j in good])
-                at = pa.array([part[j][0] for j in good])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(at),
-                        pa.array([index.ids[part[j][1]] for j in good], pa.int64()),
-                        pa.array([float(best[j]) / (MATCH * len(part[j][3])) for j in good]),
-                        pa.array([part[j][2] + int(end[j]) - int(e) for j, e in zip(good, back, strict=True)], pa.int64()),
-                        pa.array([part[j][2] + int(end[j]) + 1 for j in good], pa.int64()),
-                    ],
-                    names=["doc_id", "item_id", "score", "start_word", "end_word"],
-                )
+                _, back = align([part[j][2][::-1] for j in good], [part[j][3][: end[j] + 1][::-1] for j in good])
+                out = [
+                    (i, index.ids[part[j][1]], float(best[j]) / (MATCH * len(part[j][2])), first + int(end[j]) - int(e), first + int(end[j]) + 1)
+                    for j, e in zip(good, back, strict=True)
+                    for i, first in part[j][0]
+                ]
+                at, *cols = zip(*out, strict=True)
+                kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "item_id", "score", "start_word", "end_word"])
 
     hits = windows.mapInArrow(score, f"doc_id {id_type}, item_id long, score double, start_word long, end_word long")
     best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word"))).alias("b")

@@ -5,10 +5,12 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
 from threadloom.functions import text as X
 from threadloom.functions.identity import stable_id
 from threadloom.operators import documents, flows, graph, inventory
 from threadloom.sources import protocols
+from threadloom.sources import tables as T
 
 
 def one(spark, value, f):
@@ -129,3 +131,13 @@ def test_python_facts_and_environment(spark):
     edges = {(r.source, r.target) for r in extract.contains_edges(extract.python_facts(files)).collect()}
     assert ("a.py#Shop", "a.py#sell") in edges and ("a.py", "a.py#Shop") in edges
     assert {(r.relative_path, r.name) for r in extract.environment_names(files).collect()} == {("a.py", "SHOP_KEY"), ("a.py", "REGION"), ("c.ts", "PORT")}
+
+
+def test_communities_are_of_all_traces_and_values(spark):
+    rows = T.runtime_events(spark, SMALL).select("trace_id", "event_id", "k").orderBy("trace_id", "event_id").collect()
+    pairs: dict = {}
+    for a, b in zip(rows, rows[1:], strict=False):
+        if a.trace_id == b.trace_id:
+            pairs.setdefault(a.trace_id, set()).add((a.k, b.k))
+    want = {(t, i, c) for t, p in pairs.items() for i, c in flows.label_communities(sorted({i for x in p for i in x}), sorted(p)).items()}
+    assert {tuple(r) for r in flows.g8(spark, SMALL).collect()} == want

@@ -144,6 +144,12 @@ def label_communities(ids: list, pairs: list[tuple], rounds: int = 64) -> dict:
 
 def transitions(spark, sf_dir) -> DataFrame:
     """Per trace, which value of k follows which: a small directed graph for every user, of at most 100 nodes."""
+    nxt = F.lead("k").over(Window.partitionBy("trace_id").orderBy("event_id"))
+    return T.runtime_events(spark, sf_dir).select("trace_id", F.col("k").alias("source"), nxt.alias("target")).where("source is not null and target is not null").distinct()
+
+
+def sql_transitions(spark, sf_dir) -> DataFrame:
+    """The transitions that g6's SQL works on: traces below 'trace-3', and k modulo 30, as its recursion is too slow for more."""
     e = T.runtime_events(spark, sf_dir).where("trace_id < 'trace-3'")
     nxt = F.lead("k").over(Window.partitionBy("trace_id").orderBy("event_id"))
     return e.select("trace_id", F.expr("k % 30").alias("source"), (nxt % 30).alias("target")).where("target is not null").distinct()
@@ -217,14 +223,14 @@ def g18(spark, sf_dir):
   SELECT trace_id, id, least(id, min(other)) AS component, count(DISTINCT other) + 1 AS size FROM m GROUP BY trace_id, id""",
 )
 def g6(spark, sf_dir):
-    """Cycles in what follows what, for every user at once: each graph is small, and graphs are spread over tasks."""
+    """Cycles in what follows what, of the users that its SQL takes: each graph is small, and graphs are spread over tasks."""
 
     def solve(key, pdf):
         out = strong_components(pdf)
         out.insert(0, "trace_id", key[0])
         return out
 
-    return transitions(spark, sf_dir).groupBy("trace_id").applyInPandas(solve, "trace_id string, id long, component long, size long")
+    return sql_transitions(spark, sf_dir).groupBy("trace_id").applyInPandas(solve, "trace_id string, id long, component long, size long")
 
 
 @query("g8_communities")

@@ -57,6 +57,22 @@ def test_neighbours_prune_clusters_and_break_ties(spark, monkeypatch):
     assert [i for i, _ in got[120][:3]] == [i for i in np.lexsort((np.arange(640), -np.where(np.arange(640) == 120, -np.inf, (x @ x[120]).round(9))))[:3]]
 
 
+def test_neighbours_exact_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART", 32)
+    monkeypatch.setattr(neighbours, "SAMPLE", 48)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 3))
+    x *= rng.uniform(0.8, 1, (1500, 1)) / np.linalg.norm(x, axis=1)[:, None]
+    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(v, k=1, every=1, factor=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q in range(1500):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert got[q] == [int(s.argmax())]
+
+
 def test_neighbours_few_or_none(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.rank, r.vec_id) for r in neighbours.nearest(v).orderBy("rank").collect()] == [(1, 1), (2, 2)]

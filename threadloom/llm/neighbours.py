@@ -3,8 +3,8 @@
 Inner products become distances: with M the largest norm, a row x gets one more coordinate sqrt(M^2 - |x|^2), a query is scaled to norm M
 and gets 0 there; the nearest point is then the one with the largest inner product, and triangle bounds hold.
 
-A tree grown on a bounded sample deals the rows to shards (its leaves); shards of more than PART rows are cut by a hash of the
-id. Each part grows a vantage-point tree of its own over its rows. A query first visits the parts of its home shard, whose
+A tree grown on a bounded sample deals the rows to shards (its leaves), and its bounds are then measured over all rows dealt; shards of more
+than PART rows are cut by a hash of the id. Each part grows a vantage-point tree of its own over its rows. A query first visits the parts of its home shard, whose
 20th best distance bounds its search; then those shards that the bound can't rule out. A branch is pruned where its lower
 bound times `factor` exceeds the best distance so far: factor 1 is exact search, a larger one prunes more. Scores are
 inner products of the original vectors in double precision.
@@ -79,6 +79,23 @@ class VantageTree:
         return bound, home
 
 
+    def measured(self, x: np.ndarray) -> np.ndarray:
+        """The bounds of the nodes over the rows of x alone, as they are dealt; (inf, -inf) for a side that none goes to."""
+        out = np.tile([np.inf, -np.inf, np.inf, -np.inf], (len(self.points), 1))
+        todo = [(self.root, np.arange(len(x)))]
+        while todo:
+            node, inside = todo.pop()
+            if node < 0 or not len(inside):
+                continue
+            d = np.sqrt(np.maximum(((x[inside] - self.points[node]) ** 2).sum(1), 0))
+            near = d <= self.cut[node]
+            for side, at in enumerate((near, ~near)):
+                if at.any():
+                    out[node, 2 * side : 2 * side + 2] = d[at].min(), d[at].max()
+                    todo.append((self.children[node][side], inside[at]))
+        return out
+
+
 def lifted(x: np.ndarray, most: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(most**2 - (x**2).sum(1), 0))[:, None]])
 
@@ -160,6 +177,24 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, factor: float =
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(tree.reach(lifted(x, most))[1])], names=["vec_id", "v", "shard"])
 
     dealt = common.written(rows.mapInArrow(deal, "vec_id long, v array<double>, shard long"), "dealt")
+
+    def measure(it: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        tree, most = shared.value
+        found = None
+        for b in it:
+            if b.num_rows:
+                here = tree.measured(lifted(np.stack(b.column("v").to_numpy(zero_copy_only=False)), most))
+                found = here if found is None else np.where([True, False] * 2, np.minimum(found, here), np.maximum(found, here))
+        if found is not None and len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), *(pa.array(c) for c in np.ascontiguousarray(found.T))], names=["inner", "a", "b", "c", "e"])
+
+    # the tree's own bounds are those of its sample; a row a node of the tree
+    bounds = dealt.select("v").mapInArrow(measure, "inner long, a double, b double, c double, e double").groupBy("inner").agg(F.min("a"), F.max("b"), F.min("c"), F.max("e"))
+    for node, *over_all in bounds.collect():
+        tree.bounds[node] = tuple(over_all)
+    aimed = spark.sparkContext.broadcast((tree, float(most)))
     sizes = dealt.groupBy("shard").agg(F.ceil(F.count("*") / PART).alias("parts"))  # a row a leaf of the tree
     candidates = dealt.join(F.broadcast(sizes), "shard").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
     asked = rows.where(F.col("vec_id") % every == 0)
@@ -168,7 +203,7 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, factor: float =
         def work(it: Iterator) -> Iterator:
             import pyarrow as pa
 
-            tree, most = shared.value
+            tree, most = aimed.value
             for b in it:
                 if not b.num_rows:
                     continue

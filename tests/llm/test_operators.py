@@ -371,6 +371,13 @@ def test_pii_proposals_add_spans_and_redaction_replaces(spark):
     assert out[3].text == "mail [email] now, or [ip], call [phone] today, id 12345-99-1" and out[1000].text == plain[0][1] and out[2001].text is None and out[3].row_ == 2
 
 
+def test_pii_judges_cells_that_the_sample_lacks(spark):
+    docs = [(i, f"host 10[.]0[.]{i}[.]1 now and 10.0.{i}.1 now, id 999[.]1[.]{i}[.]999 now, or 999.1.{i}.999 now") for i in range(200)]
+    accepted = pii.fit(spark.createDataFrame(docs, "doc_id long, text string"))
+    new = spark.createDataFrame([(1, 'see ("10[.]0[.]0[.]1") there')], "doc_id long, text string")
+    assert pii.detect(new, accepted).select(pii.spelled("all").alias("s")).first().s == "ip:6:20"
+
+
 def test_boosted_trees_separate_cells():
     cells = [((0, d, 1, 0, 0, r, 0), 0 if r and d > 2 else 50, 50 if r and d > 2 else 0) for d in range(6) for r in (0, 1)]
     trees = pii.Boosted(cells)

@@ -110,6 +110,38 @@ def test_suffix_dedup(spark, hot):
     assert [got[i] for i in range(len(texts))] == brute_removed([t or "" for t in texts], 40)
 
 
+def test_suffix_dedup_of_texts_beyond_the_place_bits(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PLACE_BITS", 10)
+    rng = np.random.default_rng(8)
+    text = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passages = [text(200) for _ in range(4)]
+    texts = [text(1500) + p + text(900 + 7 * k) + p[:150] + text(300) for k, p in enumerate(passages)] + [text(600) + "".join(passages) + text(700), text(50), ""]
+    found = suffix_dedup.sliced_anchors([t.encode() for t in texts], 40, 12)
+    assert (found[1] >= found[2]).all() and (found[3] >= found[2]).all()
+    monkeypatch.setattr(suffix_dedup, "PLACE_BITS", 24)
+    whole = suffix_dedup.sliced_anchors([t.encode() for t in texts], 40, 12)
+    windows = lambda f: sorted((int(t), int(s), int(a), int(h)) for t, a, lo, hi, h in zip(*f, strict=True) for s in range(lo, hi + 1))
+    assert {w[:2] for w in windows(found)} == {w[:2] for w in windows(whole)} and len(windows(found)) == len(windows(whole))
+    # tasks import the module anew, so the steps are called here
+    gone = [np.zeros(len(t), dtype=bool) for t in texts]
+    seen = Counter(t[i : i + 40] for t in texts for i in range(len(t) - 39))
+    by_anchor = defaultdict(list)
+    for t, a, lo, hi, h in zip(*found, strict=True):
+        by_anchor[int(h)].append((int(t), int(a), int(lo), int(hi)))
+    for group in by_anchor.values():
+        bodies = [texts[t].encode()[lo : hi + 40] for t, _, lo, hi in group]
+        first, last = suffix_dedup.repeated_ranges(np.zeros(len(group), dtype=np.int64), np.array([a - lo for _, a, lo, _ in group]), bodies, np.ones(len(group), dtype=np.int64), 40, 12)
+        for (t, _, lo, _), f, e in zip(group, first, last, strict=True):
+            if f >= 0:
+                gone[t][lo + f : lo + e + 40] = True
+    for t, g in zip(texts, gone, strict=True):
+        want = np.zeros(len(t), dtype=bool)
+        for i in range(len(t) - 39):
+            if seen[t[i : i + 40]] > 1:
+                want[i : i + 40] = True
+        assert (g == want).all()
+
+
 def test_suffix_dedup_odd_rows(documents, texts, empty):
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(documents).collect())
     want = Counter((i, *b) for (i, _), b in zip(texts, brute_removed([t for _, t in texts], 400), strict=True))

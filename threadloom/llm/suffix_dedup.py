@@ -37,6 +37,8 @@ from . import common
 LENGTH, GRAM = 400, 64
 #: Occurrences of an anchor beyond which its windows are counted by hash; contexts in one construction, about.
 HOT, BATCH = 100_000, 20_000
+#: Low bits of a key that hold a place, so the bytes that are searched for anchors at once; longer texts come in slices.
+PLACE_BITS = 24
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 VALUES = np.random.default_rng(400).integers(1, 2**63, (2, 256), dtype=np.uint64)
 
@@ -71,7 +73,7 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     starts = np.concatenate([np.arange(b, b + s - length + 1) for b, s in zip(begin, size, strict=True) if s >= length] or [np.zeros(0, np.int64)])
     if not len(starts):
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    width, place = length - gram + 1, np.uint64((1 << 24) - 1)
+    width, place = length - gram + 1, np.uint64((1 << PLACE_BITS) - 1)
     key = (h & ~place) | np.arange(len(h), dtype=np.uint64)
     rows = -(-len(key) // width)
     cells = np.full(rows * width, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -86,6 +88,20 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     return text, anchor[first] - begin[text], starts[first] - begin[text], starts[last] - begin[text], h[anchor[first]].view(np.int64)
 
 
+def sliced_anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """anchors() of texts of any length: each window lies in one slice, and its anchor depends on nothing but the window. A run that
+    a slice's end cuts is given in two parts, which have no window in common."""
+    most = 1 << PLACE_BITS
+    if sum(map(len, texts)) <= most:
+        return anchors(texts, length, gram)
+    found = []
+    for k, t in enumerate(texts):
+        for a in range(0, len(t) - length + 1, most - length + 1):
+            _, at, lo, hi, h = anchors([t[a : a + most]], length, gram)
+            found.append((np.full(len(at), k), at + a, lo + a, hi + a, h))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else anchors([], length, gram)
+
+
 def repeated_ranges(group: np.ndarray, before: np.ndarray, bodies: list[bytes], copies: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """For aligned contexts, sorted by group: the first and last start (from the context's own begin) of a window that some other
     context of the group, or a copy of it, holds at the same columns; -1 where there is none.
@@ -154,7 +170,7 @@ def removed_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         import pyarrow as pa
 
         for b in common.batches(it, bytes_=1 << 20):
-            text, at, lo, hi, h = anchors([t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()], length, gram)
+            text, at, lo, hi, h = sliced_anchors([t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()], length, gram)
             t = pa.array(text)
             yield pa.RecordBatch.from_arrays([b.column("k1").take(t), b.column("k2").take(t), pa.array(h), pa.array(at), pa.array(lo), pa.array(hi)], names=["k1", "k2", "anchor", "at", "lo", "hi"])
 

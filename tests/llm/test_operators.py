@@ -73,6 +73,29 @@ def test_neighbours_exact_beyond_the_sample(spark, monkeypatch):
         assert got[q] == [int(s.argmax())]
 
 
+@pytest.mark.parametrize("factor", [1.0, neighbours.FACTOR])
+@pytest.mark.parametrize("repeated", ["queries", "candidates", "both"])
+def test_neighbours_of_repeated_rows(spark, monkeypatch, repeated, factor):
+    monkeypatch.setattr(neighbours, "PART", 64)
+    a = np.arange(2000) * 2 * np.pi / 2000
+    rows = [(i, [float(np.cos(t)), float(np.sin(t))]) for i, t in enumerate(a)]
+    rows += [(7, [1.0, 0.5]), (20, [0.2, -0.9]), (20, [0.1, 0.3])]  # ids with vectors of several kinds
+    again = [r for r in rows if (r[0] % 20 == 0) == (repeated == "queries") or repeated == "both"]
+    v = spark.createDataFrame(rows + again + again[:300], "vec_id long, embedding array<double>")
+    got = Counter((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in neighbours.nearest(v, factor=factor).collect())
+    want, ids, x = Counter(), np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for i, q in rows:
+        if i % 20 == 0:
+            s = x @ np.array(q)
+            s[ids == i] = -np.inf
+            want.update((i, k + 1, int(ids[j]), round(float(s[j]), 9)) for k, j in enumerate(np.lexsort((ids, -s.round(12)))[:20]))
+    if factor == 1.0:
+        # mirror images on the circle have scores that are equal but for the last bit
+        assert Counter((q, s) for q, _, _, s in got.elements()) == Counter((q, s) for q, _, _, s in want.elements())
+    one_id = lambda found: {(q, i) for q, _, i, _ in found}
+    assert len(one_id(got) & one_id(want)) >= 0.9 * len(one_id(want)) and sum(got.values()) == sum(want.values())
+
+
 def test_neighbours_few_or_none(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.rank, r.vec_id) for r in neighbours.nearest(v).orderBy("rank").collect()] == [(1, 1), (2, 2)]

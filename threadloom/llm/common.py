@@ -2,51 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.plans.stages import drop_written, shared_dir, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["batches", "crc_bucket", "drop_written", "join_ids", "settled", "shared_dir", "table", "whole_texts", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def written(df: DataFrame, name: str, *partition: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder, read back: it cuts lineage and survives lost executors.
 
-    The path is kept on the result as `.path_`, for drop_written."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition) if partition else writer).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.path_ = path
+def settled(df: DataFrame, name: str, *intermediates: DataFrame | None) -> DataFrame:
+    """`df` written in the shared folder and read back, after which the tables that it was made from are removed."""
+    out = written(df, name)
+    drop_written(*intermediates)
     return out
 
 
-def drop_written(*frames: DataFrame | None) -> None:
-    """Remove tables of written() that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "path_", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 #: Ids (numbers) that a join may broadcast, once they are counted: 16 MB or so. More of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL, same_rows
-from threadloom.llm import chat, components, decontaminate, language, neighbours, packing, pii, registry, simhash, suffix_dedup, toxicity, url_filter
+from threadloom.llm import chat, common, components, decontaminate, language, neighbours, packing, pii, registry, simhash, suffix_dedup, toxicity, url_filter
 
 
 def table(spark, name):
@@ -363,12 +363,52 @@ def test_language_held_out(spark):
     assert np.mean([r.lang_pred == r.lang for r in rows]) > 0.97 and all(0 <= r.score <= 1 for r in rows)
 
 
-def test_folded_scores_are_the_kernel_scores():
+def test_places_are_the_distinct_n_grams():
     flags = np.zeros(1 << language.BITS, dtype=np.uint8)
     a, b = language.places("abcab", flags), language.places("ABCAB", flags)
     assert a.tolist() == b.tolist() and len(a) == 3 + 3 + 3 and not flags.any()
 
 
+def test_scores_are_those_of_the_kernel_ridge_regression(spark):
+    """Kernels from set intersections, and the ridge regression in its dual form, over the same landmarks."""
+    rng = np.random.default_rng(11)
+    alphabets = {"aa": "abcdefgh ", "bb": "efghijkl ", "cc": "ijklmnop "}
+    make = lambda k, n: "".join(rng.choice(list(alphabets[k]), n))
+    rows = [(i, make(k, int(rng.integers(20, 60))), k) for i, k in enumerate(list(alphabets) * 9)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), landmarks=5)
+    new = [(100 + i, make(k, 40), k) for i, k in enumerate(list(alphabets) * 5)] + [(200, "xyz", None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(spark.createDataFrame(new, "doc_id long, text string, lang string"), model).collect()}
+
+    flags = np.zeros(1 << language.BITS, dtype=np.uint8)
+    sets = lambda texts: [set(language.places(t, flags).tolist()) for t in texts]
+    kernel = lambda a, b: np.array([[len(x & z) / np.sqrt(len(x) * len(z)) for z in b] for x in a])
+    bitmap = lambda x: np.packbits(np.isin(np.arange(1 << language.BITS), list(x))).tobytes()
+    train = sorted(((k, bitmap(x), x) for (_, _, k), x in zip(rows, sets(t for _, t, _ in rows), strict=True)), key=lambda r: r[:2])
+    langs, x = sorted(alphabets), [r[2] for r in train]
+    marks = [s for k in langs for s in [r[2] for r in train if r[0] == k][:5]]
+    root = np.linalg.pinv(kernel(marks, marks), rcond=1e-6, hermitian=True)
+    y = np.array([[1.0 if r[0] == k else -1.0 for k in langs] for r in train])
+    # phi phi' = K(X, M) K(M, M)^-1 K(M, X), and 1 for the constant; all languages hold 9 texts, so all weigh 1 / 9
+    phi = lambda a, b: kernel(a, marks) @ root @ kernel(b, marks).T + 1
+    alpha = np.linalg.solve(phi(x, x) + language.RIDGE * np.eye(len(x)), y)
+    scores = phi(sets(t for _, t, _ in new), x) @ alpha
+    for (i, _, _), s in zip(new, scores, strict=True):
+        e = np.exp(3 * (s - s.max()))
+        assert got[i][0] == langs[int(s.argmax())] and abs(got[i][1] - e.max() / e.sum()) < 1e-4
+
+
+def test_unlearned_languages_are_unknown(spark):
+    sf = SMALL.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(language.training_rows(docs))
+    rng = np.random.default_rng(0)
+    foreign = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 300)), "Αυτό είναι ένα κείμενο σε μια γλώσσα που κανείς δεν έμαθε ποτέ", "Tämä on suomenkielinen teksti, jota luokittelija ei ole koskaan nähnyt eikä oppinut. Se kertoo talvesta ja lumesta.", "Ten tekst jest napisany po polsku i klasyfikator nigdy wcześniej go nie widział ani się nie uczył.", "Этот текст написан на языке, которого нет среди выученных", "这是一个没有人学过的语言的句子"]
+    rows = language.predict(spark.createDataFrame(list(enumerate(foreign)), "doc_id long, text string"), model, judge=True).collect()
+    assert all(r.known < model.floor for r in rows) and model.floor > 0.85
+    own = language.predict(docs.where(common.crc_bucket("doc_id", 5) == 0), model, judge=True).collect()
+    assert all(r.known >= model.floor for r in own if r.lang_pred != "und")
+
+
 def test_language_odd_rows(documents, empty, spark):
     model = language.fit(documents)
     rows = {r.doc_id: r for r in language.predict(documents, model).collect()}

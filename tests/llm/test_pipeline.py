@@ -97,6 +97,8 @@ def test_stages_drop_what_they_should_and_nothing_else(spark, documents):
     assert kept.columns == documents.columns
     gone = {r.doc_id for r in documents.join(kept.select("doc_id"), "doc_id", "left_anti").collect() if r.doc_id}
     assert gone == {1_000_001, 1_000_002, 1_000_003, 1_000_004}
+    foreign = documents.limit(1).withColumns({"doc_id": F.lit(78).cast("long"), "text": F.lit("Αυτό είναι ένα κείμενο σε μια γλώσσα που κανείς δεν έμαθε")})
+    assert 78 not in {r.doc_id for r in STAGES["language_id"](spark, documents.where("doc_id <> 78").unionByName(foreign), SMALL).collect()}
     item = common.table(spark, SMALL, "benchmark").first().text
     dirty = d.limit(1).withColumns({"doc_id": F.lit(77).cast("long"), "text": F.lit(f"before all that {item} and after")})
     clean = STAGES["decontamination"](spark, d.unionByName(dirty), SMALL)

@@ -7,15 +7,24 @@ regression. As the kernel is linear in the presence vector, landmarks, inverse r
 (places by languages): a batch is scored by the product of its presence rows with it.
 
 The classifier is fitted on a bounded sample: at most SAMPLE texts of each language (the ones with the smallest hashes
-of their ids), of which LANDMARKS are landmarks; each comes to the driver as a bitmap of 2^BITS bits, whatever its length.
+of their ids, one text an id), of which LANDMARKS are landmarks; each comes to the driver as two bitmaps of 2^BITS bits, whatever
+its length.
 
-Defined cases: a text that is null, empty or without a letter is `und` with score 0; with nothing to learn from, all are;
-null lang teaches nothing; rows that repeat are scored alike; ties go to the smaller name; other columns are left behind.
+A one-versus-rest score says which language is nearest, not whether it is near. So predict() can also give `known`: the share of the
+n-grams of a text's words (tokens with digits and marks aside) that two texts of the sample hold, whatever their language, SPARE forgiven. A text of an
+unlearned language, or of random letters, holds many others. The model's `floor` for it is LEAST_KNOWN, or less where the sample is too
+small to hold even its own languages' n-grams: measured as what one half of it holds of the other.
+
+Defined cases: a text that is null, empty or without a letter is `und` with score 0 and known 0; with nothing to learn from, all are;
+null lang or doc_id teaches nothing; rows that repeat are scored alike; ties go to the smaller name; other columns are left behind. Rows
+without doc_id are not held out.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,6 +35,11 @@ from . import common
 
 MAX_N, BITS = 3, 16
 SAMPLE, LANDMARKS, RIDGE = 300, 48, 1e-2
+#: The least share of known n-grams, the unknown ones that any text may hold beside, and how many texts of the sample must hold an n-gram
+#: (so that one of another language among them doesn't teach its own).
+LEAST_KNOWN, SPARE, HELD_BY = 0.9, 4, 2
+DIGIT = re.compile(r"\d").search
+WORDS = re.compile(r"[^\W\d_]+").findall
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 
@@ -48,35 +62,55 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def words(text: str) -> str:
+    """The words of a text; tokens that hold a digit, and all marks, are left out."""
+    return " ".join(WORDS(" ".join(w for w in text.split() if not DIGIT(w))))
+
+
 def bitmaps(docs: DataFrame) -> DataFrame:
+    """(lang, doc_id, bits, word_bits): the places of each text and of its words. One text an id and language."""
+
     def work(it: Iterator) -> Iterator:
         import pyarrow as pa
 
         flags = np.zeros(1 << BITS, dtype=np.uint8)
+
+        def packed(text: str) -> bytes:
+            flags[places(text, flags)] = 1
+            out = np.packbits(flags).tobytes()
+            flags[:] = 0
+            return out
+
         for b in common.batches(it):
-            bits = []
-            for t in b.column("text").to_pylist():
-                flags[places(t, flags)] = 1
-                bits.append(np.packbits(flags).tobytes())
-                flags[:] = 0
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(bits, pa.binary())], names=["lang", "bits"])
+            texts = b.column("text").to_pylist()
+            cols = [pa.array(map(packed, texts), pa.binary()), pa.array((packed(words(t)) for t in texts), pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("doc_id"), *cols], names=["lang", "doc_id", "bits", "word_bits"])
 
-    return docs.select("text", "lang").mapInArrow(work, "lang string, bits binary")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("text", "lang", "doc_id").mapInArrow(work, f"lang string, doc_id {id_type}, bits binary, word_bits binary")
+    return found.groupBy("lang", "doc_id").agg(F.min(F.struct("bits", "word_bits")).alias("b")).select("lang", "doc_id", "b.bits", "b.word_bits")
 
 
-def fit(labelled: DataFrame, per_language: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray] | None:
-    """Languages, and the matrix (places by languages) whose sum over a text's places, over sqrt(their number), scores it."""
-    usable = common.whole_texts(labelled, "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).select("doc_id").distinct()
-    rows = bitmaps(usable.join(F.broadcast(ids), "doc_id", "left_semi")).collect()  # bounded: per_language bitmaps a language
-    if not rows:
-        return None
-    rows = sorted(rows, key=lambda r: (r["lang"], bytes(r["bits"])))
-    langs = sorted({r["lang"] for r in rows})
-    bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), dtype=np.uint8).reshape(len(rows), -1)
-    y = np.array([[1.0 if r["lang"] == k else -1.0 for k in langs] for r in rows])
-    marks = np.concatenate([[i for i, r in enumerate(rows) if r["lang"] == k][:landmarks] for k in langs]).astype(int)
+@dataclass
+class Model:
+    langs: list[str]
+    #: Its rows' sum over a text's places, over sqrt(their number), scores it; the last row is added.
+    matrix: np.ndarray
+    #: The places of the sample's words, and the least share of them that a text of a learned language has.
+    seen: np.ndarray
+    floor: float
+
+
+def known_share(word_places: np.ndarray, seen: np.ndarray) -> float:
+    """The share of a text's places that are seen, SPARE unseen ones forgiven."""
+    n = len(word_places)
+    return 1.0 if not n else min(1.0, (int(seen[word_places].sum()) + SPARE) / n)
+
+
+def solve(langs: list[str], of: list[str], bits: np.ndarray, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> np.ndarray:
+    """The folded matrix, from the bitmaps (a row a text) and languages of training texts."""
+    y = np.array([[1.0 if x == k else -1.0 for k in langs] for x in of])
+    marks = np.concatenate([[i for i, x in enumerate(of) if x == k][:landmarks] for k in langs]).astype(int)
 
     def presence(some: np.ndarray) -> np.ndarray:
         x = np.unpackbits(some, axis=1).astype(np.float32)
@@ -88,45 +122,71 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE, landmarks: int = LANDMA
     values, vectors = np.linalg.eigh(kernel[marks])
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    phi = np.hstack([kernel @ root, np.ones((len(rows), 1))])
+    phi = np.hstack([kernel @ root, np.ones((len(of), 1))])
     weight = (1 / (y > 0).sum(0))[(y > 0).argmax(1)][:, None]  # languages count alike
     beta = np.linalg.solve(phi.T @ (phi * weight) + ridge * np.eye(phi.shape[1]) * weight.mean(), phi.T @ (y * weight))
     folded = z.T @ (root @ beta[:-1]).astype(np.float32)
-    return langs, np.vstack([folded.astype(np.float64), beta[-1:]])
+    return np.vstack([folded.astype(np.float64), beta[-1:]])
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, *keep: str) -> DataFrame:
-    """doc_id, lang_pred and score (its share of the languages' exponential scores) of whole texts; `keep`: more columns,
-    none of them named like those three."""
+def fit(labelled: DataFrame, per_language: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+    """The classifier, from rows (doc_id, text, lang)."""
+    usable = common.whole_texts(labelled, "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = usable.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).select("doc_id").distinct()
+    rows = bitmaps(usable.join(F.broadcast(ids), "doc_id", "left_semi")).collect()  # bounded: per_language ids a language, two bitmaps each
+    if not rows:
+        return None
+    rows = sorted(rows, key=lambda r: (r["lang"], bytes(r["bits"])))
+    of = [r["lang"] for r in rows]
+    bits, word_bits = (np.frombuffer(b"".join(bytes(r[c]) for r in rows), dtype=np.uint8).reshape(len(rows), -1) for c in ("bits", "word_bits"))
+    langs = sorted(set(of))
+    held = [np.zeros(1 << BITS, dtype=np.int32) for _ in range(2)]  # by how many texts of either half
+    for k, w in enumerate(word_bits):
+        held[k % 2] += np.unpackbits(w)
+    seen = held[0] + held[1] >= HELD_BY
+    # what one half of the sample knows of the other
+    shares = [known_share(np.flatnonzero(np.unpackbits(w)), held[0] >= HELD_BY) for w in word_bits[1::2]] or [1.0]
+    floor = min(LEAST_KNOWN, 1 - 2 * (1 - float(np.quantile(shares, 0.01))))
+    return Model(langs, solve(langs, of, bits, landmarks, ridge), seen, floor)
+
+
+def predict(docs: DataFrame, model: Model | None, *keep: str, judge: bool = False) -> DataFrame:
+    """doc_id, lang_pred and score (its share of the languages' exponential scores) of whole texts, with `judge` also `known`; `keep`: more
+    columns, none of them named like those."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("whole_"), *keep)
     rest = [f for f in source.schema if f.name != "whole_"]
-    schema = T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField("known", T.DoubleType())] if judge else [])])
 
     def work(it: Iterator) -> Iterator:
         import pyarrow as pa
 
-        langs, matrix = shared.value or ([], None)
+        m = shared.value
         flags = np.zeros(1 << BITS, dtype=np.uint8)
         for b in common.batches(it, column="whole_"):
-            names, scores, at, rows, sizes = [], [], [], [], []
+            names, scores, known, at, rows, sizes = [], [], [], [], [], []
             for i, t in enumerate(b.column("whole_").to_pylist()):
                 names.append("und")
                 scores.append(0.0)
-                if langs and has_letter(t):
+                known.append(0.0)
+                if m and has_letter(t):
                     rows.append(p := places(t, flags))
                     sizes.append(len(p))
                     at.append(i)
+                    if judge:
+                        known[-1] = known_share(places(words(t), flags), m.seen)
             if at:
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                out = np.add.reduceat(matrix[np.concatenate(rows)], starts, axis=0) / np.sqrt(sizes)[:, None] + matrix[-1]
+                out = np.add.reduceat(m.matrix[np.concatenate(rows)], starts, axis=0) / np.sqrt(sizes)[:, None] + m.matrix[-1]
                 e = np.exp(3 * (out - out.max(1, keepdims=True)))
                 e /= e.sum(1, keepdims=True)
                 for i, k, s in zip(at, e.argmax(1), e.max(1), strict=True):
-                    names[i], scores[i] = langs[k], float(s)
+                    names[i], scores[i] = m.langs[k], float(s)
             kept = [(n, b.column(n)) for n in b.schema.names if n != "whole_"]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(names), pa.array(scores)], names=[*(n for n, _ in kept), "lang_pred", "score"])
+            more = [("lang_pred", pa.array(names)), ("score", pa.array(scores)), *([("known", pa.array(known))] if judge else [])]
+            yield pa.RecordBatch.from_arrays([c for _, c in kept + more], names=[n for n, _ in kept + more])
 
     return source.mapInArrow(work, schema)
 
@@ -138,4 +198,4 @@ def training_rows(docs: DataFrame) -> DataFrame:
 def op7_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = predict(docs, fit(training_rows(docs)))
-    return out.select("doc_id", (common.crc_bucket("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(common.crc_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")

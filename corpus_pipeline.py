@@ -10,17 +10,15 @@ from pyspark.sql import functions as F
 
 from threadloom.llm import common, decontaminate, language, packing, pii, simhash
 
-#: A text goes if it has no letter, or if its language's share of the score is below this.
-LEAST_LANGUAGE_SCORE = 0.15
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; the classifier learns from the labelled ones among them."""
+    """Documents in a language that the classifier learned, from the labelled ones among them: with letters, and with no more unknown
+    n-grams than such a text may have."""
     model = language.fit(language.training_rows(docs))
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row_"))
-    out = language.predict(rows, model, "row_").where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    out = language.predict(rows, model, "row_", judge=True).where((F.col("lang_pred") != "und") & (F.col("known") >= model.floor))
     return out.select(*(F.col("row_")[c].alias(c) for c in docs.columns))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -213,6 +214,37 @@ def test_packing_plan(seed):
     assert sum(k for _, k in plan) <= 1.02 * least + 1
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_sum_index_against_all_combinations(seed):
+    rng = np.random.default_rng(seed)
+    left = np.zeros(31, dtype=np.int64)
+    for n in rng.integers(1, 20, 12):
+        left[n] += 1
+    index = packing.SumIndex(left)
+    for _ in range(40):
+        total = int(rng.integers(1, 31))
+        stock = [n for n in range(31) for _ in range(left[n])]
+        for size, found in ((1, index.single(total)), (2, index.pair(total)), (3, index.triple(total))):
+            can = any(sum(c) == total for c in itertools.combinations(stock, size))
+            assert (found is not None) == can and (not found or sum(found) == total and not Counter(found) - Counter(stock))
+        if len(stock):
+            left[rng.choice(stock)] -= 1
+
+
+def test_packing_of_ids_of_any_type_and_frequent_lengths(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 7)
+    docs = spark.createDataFrame([(f"id{k % 90}", "one two" if k % 3 else "word " * (k % 50)) for k in range(300)] + [(None, None)], "doc_id string, text string")
+    rows = packing.pack_documents(docs, capacity=64).collect()
+    assert {r.doc_id for r in rows} == {None, *(f"id{k}" for k in range(90))} and len(rows) >= 301
+    used = defaultdict(list)
+    for r in rows:
+        used[r.sequence_id].append((r.offset, r.length))
+    for p in used.values():
+        p.sort()
+        assert p[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(p, p[1:], strict=False)) and sum(n for _, n in p) <= 64
+    assert len(used) <= 1.03 * sum(r.length for r in rows) / 64 + 1
+
+
 def test_cut_keeps_every_id():
     for total in range(1, 50):
         parts = packing.cut(total, 8)

@@ -4,13 +4,15 @@ A document is a bag of sentences; sentence s is toxic with probability p(s), a l
 document with 1 - prod(1 - p(s)) (noisy-or). Weights are trained from document labels alone, through that product, and
 the sentence probabilities then locate what is offending.
 
-Words count through themselves and their first 3 to 6 characters. Fitting uses a bounded sample: labelled rows whose hash falls
-under SAMPLE rows in expectation. Over it Spark counts, for each feature, how many documents of either class hold it;
-the FEATURES most telling ones go into the model, and sentences that hold any of them come to the driver as ids.
+Words count through themselves and their first 3 to 6 characters. Fitting uses a bounded sample: labelled ids whose hash falls
+under SAMPLE ids in expectation, of texts of at most LONGEST characters, and CHARACTERS of them in all in expectation. Over it Spark
+counts, for each feature, how many documents of either class hold it; the FEATURES most telling ones go into the model, and sentences that
+hold any of them come to the driver as ids.
 
 Defined cases: null and empty texts have no sentence and are scored as one sentence without words; without labels of
-both kinds every score is the share of label 1; rows that repeat are scored alike; a label other than 0 and 1 teaches
-nothing; of labels that contradict each other, 1 counts; other columns are left behind.
+both kinds every score is 1 if there is a label 1, else 0; rows that repeat are scored alike, and of an id's rows one teaches; a label other
+than 0 and 1 teaches nothing; of labels that contradict each other, 1 counts; rows without doc_id teach nothing and aren't held out; other
+columns are left behind.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE, FEATURES, THRESHOLD = 20_000, 3_000, 0.3
+#: Characters of a text that may teach, and of all that teach.
+LONGEST, CHARACTERS = 1_000_000, 200_000_000
 #: Least documents of the sample that hold a feature.
 LEAST = 5
 REMEMBERED = 500_000
@@ -115,7 +119,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, width: int = F
     n = y.count()
     if n > sample:
         y = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    chosen = common.written(common.whole_texts(docs).join(y, "doc_id"), "toxic_sample")
+    texts = common.whole_texts(docs).where(F.char_length("text") <= LONGEST).join(y, "doc_id").groupBy("doc_id", "y")
+    picked = common.written(texts.agg(F.min_by("text", F.xxhash64("text")).alias("text")), "toxic_sample")
+    size = picked.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    chosen = picked if size <= CHARACTERS else picked.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000)) < int(1_000_000 * CHARACTERS / size))
     sizes = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return {}, 0.0, float(sizes.get(1, 0) > 0)
@@ -123,8 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, width: int = F
     z = F.abs(F.col("pos") / sizes[1] - F.col("neg") / sizes[0]) / F.sqrt(share * (1 - share) + 1e-6)
     best = feature_counts(chosen).where(F.col("pos") + F.col("neg") >= min(LEAST, sizes[1])).orderBy(F.desc(z), "feature").limit(width)
     known = {r["feature"]: k for k, r in enumerate(best.select("feature").collect())}
-    weights, bias = train(bags(chosen, known).collect(), len(known))  # bounded by the sample: ids of sentences that hold features
-    common.drop_written(chosen)
+    weights, bias = train(bags(chosen, known).collect(), len(known))  # bounded by CHARACTERS: ids of sentences that hold features
+    common.drop_written(picked)
     return {f: float(weights[k]) for f, k in known.items() if weights[k]}, bias, None
 
 
@@ -186,4 +193,4 @@ def op5_multiple_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFram
     learn = common.crc_bucket("doc_id", 4) != 2
     model = fit(docs.where(learn), common.table(spark, sf_dir, "labels").where(learn))
     out = score(docs, model)
-    return out.select("doc_id", (common.crc_bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(common.crc_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -314,6 +314,63 @@ def test_toxicity_learns_and_locates(spark):
     assert 0 <= rows[900].score < 0.3 and rows[900].score == rows[901].score
 
 
+def plain_noisy_or(bags: list[tuple[int, list[set[int]]]], width: int, steps: int) -> tuple[list[float], float]:
+    """Adam on the likelihood 1 - prod(1 - p(s)), one document after the other; a bag is the label and each sentence's features."""
+    w, m, v = [0.0] * width + [-6.0], [0.0] * (width + 1), [0.0] * (width + 1)
+    for step in range(1, steps + 1):
+        grad = [0.0] * (width + 1)
+        for y, parts in bags:
+            p = [1 / (1 + np.exp(-(sum(w[f] for f in s) + w[-1]))) for s in parts]
+            none = np.prod([1 - x for x in p])
+            for x, s in zip(p, parts, strict=True):
+                # d/dz of log(1 - none) is p * none / (1 - none), of log(none) it is -p
+                pull = x * none / (1 - none) if y else -x
+                for f in s:
+                    grad[f] += pull / len(bags)
+                grad[-1] += pull / len(bags)
+        for k in range(width + 1):
+            g = grad[k] - (1e-4 * w[k] if k < width else 0)
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
+            w[k] += 0.1 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-9)
+        w[-1] = min(max(w[-1], -14), -4)
+    return w[:-1], w[-1]
+
+
+def test_toxicity_against_plain_noisy_or(spark):
+    """Features, their choice, training and scores, all in plain Python."""
+    docs, labels = toxic_rows(90)
+    width = 40
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    weights, bias, constant = toxicity.fit(d, y, width=width)
+    parts = {i: [s for s in re.split(r"(?<=[.!?])\s+|\n+", t.lower()) if s] for i, t in docs}
+    grams = lambda s: {x for w in re.findall(r"[^\W\d_]+", s) for x in [w + "$", *(w[:n] + "^" for n in range(3, 7) if n <= len(w))]}
+    held, size = {0: Counter(), 1: Counter()}, Counter(y for _, y in labels)
+    for i, y_ in labels:
+        held[y_].update(set().union(*map(grams, parts[i])))
+    share = lambda f: (held[0][f] + held[1][f]) / len(docs)
+    z = {f: abs(held[1][f] / size[1] - held[0][f] / size[0]) / np.sqrt(share(f) * (1 - share(f)) + 1e-6) for f in {*held[0], *held[1]} if held[0][f] + held[1][f] >= toxicity.LEAST}
+    known = {f: k for k, f in enumerate(sorted(z, key=lambda f: (-round(z[f], 12), f))[:width])}
+    w, b = plain_noisy_or([(y_, [{known[f] for f in grams(s) if f in known} for s in parts[i]]) for i, y_ in labels], width, 300)
+    assert constant is None and set(weights) == set(known) and abs(bias - b) < 1e-2
+    assert max(abs(weights[f] - w[k]) for f, k in known.items()) < 1e-2
+    for r in toxicity.score(d, (weights, bias, None)).collect():
+        plain = 1 - np.prod([1 - 1 / (1 + np.exp(-(sum(weights[f] for f in grams(s) & set(weights)) + bias))) for s in parts[r.doc_id]])
+        assert abs(r.score - plain) < 1e-9
+
+
+def test_toxicity_fits_on_bounded_text(spark, monkeypatch):
+    docs, labels = toxic_rows(300)
+    d, y = spark.createDataFrame(docs * 3 + [(0, "x " * 900)], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    once = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), y)
+    monkeypatch.setattr(toxicity, "LONGEST", 1000)
+    assert toxicity.fit(d, y) == once  # repeated rows teach once, longer texts nothing
+    monkeypatch.setattr(toxicity, "CHARACTERS", sum(len(t) for _, t in docs) // 2)
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda rows, width: seen.append(len(rows)) or (np.ones(width), -6.0))
+    toxicity.fit(d, y)
+    assert 90 < seen[0] < 210
+
+
 def test_toxicity_of_the_tables_is_learned(spark):
     t = registry.QUERIES["op5_multiple_instance_toxicity"](spark, SMALL.replace("0.001", "0.1")).join(table(spark, "labels").limit(0).unionByName(spark.read.parquet(f"{SMALL.replace('0.001', '0.1')}/labels.parquet")), "doc_id").where("held_out").select("predicted", "toxic").collect()
     hit = sum(r.predicted and r.toxic for r in t)
@@ -368,6 +425,52 @@ def test_decontamination_finds_edited_copies(spark, documents, empty):
     decontaminate.contaminated(documents, b).collect()
 
 
+def test_decontamination_against_alignment_of_everything(spark):
+    """Every document aligned whole with every item; a hit needs the score and a run of three words in common."""
+    rng = np.random.default_rng(21)
+    words = [f"q{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choice(words, int(rng.integers(3, 14))))) for k in range(12)]
+    docs = []
+    for i in range(150):
+        w = items[int(rng.integers(0, 12))][1].split()
+        for _ in range(int(rng.integers(0, 7))):  # changed, left out and added words
+            k, change = int(rng.integers(0, len(w) + 1)), int(rng.integers(0, 3))
+            w[k : k + (change < 2)] = [rng.choice(words)] if change else []
+        docs.append((i, " ".join([*rng.choice(words, int(rng.integers(0, 30))), *w, *rng.choice(words, int(rng.integers(0, 30)))])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.score, 6) for r in decontaminate.contaminated(d, b).collect()}
+    want = {}
+    for i, t in docs:
+        y = t.split()
+        runs = {tuple(y[k : k + 3]) for k in range(len(y) - 2)}
+        for k, item in items:
+            x = item.split()
+            if not any(tuple(x[j : j + 3]) in runs for j in range(len(x) - 2)):
+                continue
+            h = np.zeros((len(x) + 1, len(y) + 1), dtype=int)
+            for a, b_ in itertools.product(range(len(x)), range(len(y))):
+                h[a + 1, b_ + 1] = max(0, h[a, b_] + (2 if x[a] == y[b_] else -1), h[a, b_ + 1] - 1, h[a + 1, b_] - 1)
+            if h.max() >= len(x):
+                want[i, k] = round(h.max() / (2 * len(x)), 6)
+    assert got == want and len(want) > 80
+
+
+def test_seeds_of_large_vocabularies():
+    n = 2_200_000  # three word numbers in one product would pass 2^63
+    index = decontaminate.SeedIndex([(5, " ".join(f"w{k}" for k in range(n))), (6, "w2100001 w7 w2100000 w9 w9")])
+    found = [(k, first, len(window)) for k, first, window in index.windows(f"no w2199997 w2199998 w2199999 no {'x ' * 40} w2100001 w7 w2100000 w9 w8")]
+    assert [k for k, _, _ in found] == [0, 1] and (np.diff(index.key) >= 0).all() and len(index.key) == n - 2 + 3
+    assert not list(index.windows("w2100001 w7 w2100001 w2100000 w9 w2199999"))
+
+
+def test_rows_without_id_are_decontaminated(spark):
+    item = "one two three four five six seven eight nine ten"
+    d = spark.createDataFrame([(None, f"so {item} it is"), (None, "clean text of no importance"), (None, None), (1, f"{item}"), (2, "clean")], "doc_id long, text string").withColumns({"key_": F.lit(1), "row_": F.lit(2)})
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontaminate.clean_of(d, b)
+    assert left.columns == d.columns and sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, [(None, "clean text of no importance"), (None, None), (2, "clean")]))
+
+
 @pytest.mark.parametrize("copies", [7, 8, 300])
 def test_decontamination_finds_edited_copies_however_many(spark, copies):
     w = [f"v{k}" for k in range(20)]

@@ -1,7 +1,7 @@
 """Operator 6: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
 Texts become lower-case words. Every run of SEED words of a test item is a seed, however many documents hold it; where a document
-holds a seed, the window that the item would span around it (with SLACK of its length on either side) is kept, as word numbers of the
+holds a seed, the window that an alignment through it could span (with the item's length on either side) is kept, as word numbers of the
 benchmark's own vocabulary, unless it holds too few of the item's words for any alignment to reach the threshold. Windows are aligned
 with the item by Smith-Waterman over words (match 2, mismatch and gap -1), equal ones of a batch once; a score of at least
 THRESHOLD of the item's own marks a copy.
@@ -10,9 +10,9 @@ The benchmark side is broadcast: its words are counted first, and beyond BLOCK_W
 items, each over all documents. Nothing of the corpus is broadcast or collected; windows are a small share of it.
 
 Defined cases: null and empty texts have no words; items of fewer than SEED words have no seed and match nothing; items
-that repeat are each reported; rows that repeat a doc_id are searched alike, and its best alignment is reported once;
-rows without doc_id are searched, but cannot be reported; with an empty table there are no pairs; other columns are left
-behind. Among equal scores the earliest passage is reported.
+that repeat are each reported; rows that repeat a doc_id are searched alike, and its best alignment is reported once; rows without
+doc_id cannot be reported, and contaminated() leaves them out, while clean_of() judges them by their texts; with an empty table there are no
+pairs; other columns are left behind. Among equal scores the earliest passage is reported.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SEED, SLACK, THRESHOLD = 3, 0.5, 0.5
+#: With a threshold of one half an alignment spans twice the item's length at most, so a slack of one length holds it whole.
+SEED, SLACK, THRESHOLD = 3, 1.0, 0.5
 BLOCK_WORDS = 5_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORDS = re.compile(r"[^\W_]+").findall
@@ -46,21 +47,33 @@ class SeedIndex:
         self.seed = seed
         self.items = {k: np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(t)], dtype=np.int64) for k, (_, t) in enumerate(items)}
         self.ids = [i for i, _ in items]
-        at = [(key, k, j) for k, a in self.items.items() for j, key in enumerate(self.keys(a)) if key >= 0]
-        at.sort()
-        self.key, self.item, self.offset = (np.array(c, dtype=np.int64) for c in (zip(*at, strict=True) if at else ((), (), ())))
-
-    def keys(self, a: np.ndarray) -> np.ndarray:
-        """The seed that starts at each place; -1 where a word is none of the vocabulary."""
-        if len(a) < self.seed:
+        # the runs of 2, 3, ... words that items hold, shorter than a seed: a run is numbered by its place here, so keys stay small
+        self.runs: list[np.ndarray] = []
+        for k in range(1, seed - 1):
+            self.runs.append(np.unique(np.concatenate([self.keys(a, k + 1) for a in self.items.values()] or [np.zeros(0, np.int64)])))
+        keys = [self.keys(a) for a in self.items.values()]
+        item, offset = np.repeat(np.arange(len(keys)), [len(x) for x in keys]), np.concatenate([np.arange(len(x)) for x in keys] or [np.zeros(0, np.int64)])
+        key = np.concatenate(keys or [np.zeros(0, np.int64)])
+        order = np.lexsort((offset, item, key))
+        self.key, self.item, self.offset = key[order], item[order], offset[order]
+
+    def keys(self, a: np.ndarray, size: int = 0) -> np.ndarray:
+        """The run of `size` words (a seed's) that starts at each place, as a number; -1 where no item holds it, up to its last word."""
+        size = size or self.seed
+        if len(a) < size:
             return np.zeros(0, dtype=np.int64)
-        base, n = len(self.vocabulary) + 1, len(a) - self.seed + 1
-        out, bad = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
-        for k in range(self.seed):
-            part = a[k : k + n]
-            out = out * base + part
-            bad |= part < 0
-        out[bad] = -1
+        base, n = len(self.vocabulary) + 1, len(a) - size + 1
+        out = a[:n].copy()
+        for k in range(1, size):
+            good = np.flatnonzero((out >= 0) & (a[k : k + n] >= 0))
+            key = out[good] * base + a[good + k]
+            out[:] = -1
+            if k < size - 1:
+                runs = self.runs[k - 1]
+                at = np.minimum(np.searchsorted(runs, key), max(len(runs) - 1, 0))
+                held = runs[at] == key if len(runs) else np.zeros(0, dtype=bool)
+                good, key = good[held], at[held]
+            out[good] = key
         return out
 
     def windows(self, text: str) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -82,7 +95,7 @@ class SeedIndex:
         for part in np.split(np.arange(len(item)), cuts):
             k, s = int(item[part[0]]), int(slack[part[0]])
             first = max(0, int(start[part[0]]) - s)
-            yield k, first, a[first : int(start[part[-1]]) + len(self.items[k]) + s]
+            yield k, first, a[first : int(start[part[-1]]) + len(self.items[k]) + s]  # as long as its seeds' alignments may be
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -176,5 +189,20 @@ def _in_block(spark: SparkSession, docs: DataFrame, items: list[tuple[int, str]]
     return hits.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", "b.start_word", "b.end_word")
 
 
+def clean_of(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without those that hold a copy of a test item (and without other rows of their doc_ids)."""
+    found = contaminated(docs, benchmark, threshold)
+    out = common.join_ids(docs, found, "left_anti").select(docs.columns)
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return out
+    # rows without doc_id are known by their texts
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    held = contaminated(nameless.select(key.alias("doc_id"), "text"), benchmark, threshold).select(F.col("doc_id").alias("key_")).distinct()
+    row = F.struct(*(docs[c] for c in docs.columns))
+    left = nameless.select(row.alias("row_"), key.alias("key_")).join(held, "key_", "left_anti").select(*(F.col("row_")[c].alias(c) for c in docs.columns))
+    return out.where("doc_id is not null").unionByName(left)
+
+
 def op6_seed_alignment_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))

@@ -29,8 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no copy of a benchmark item."""
-    found = decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
-    return common.join_ids(docs, found, "left_anti").select(docs.columns)
+    return decontaminate.clean_of(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

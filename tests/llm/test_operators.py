@@ -601,15 +601,52 @@ def test_pii_proposals_add_spans_and_redaction_replaces(spark):
     assert out[3].text == "mail [email] now, or [ip], call [phone] today, id 12345-99-1" and out[1000].text == plain[0][1] and out[2001].text is None and out[3].row_ == 2
 
 
-def test_pii_judges_cells_that_the_sample_lacks(spark):
-    docs = [(i, f"host 10[.]0[.]{i}[.]1 now and 10.0.{i}.1 now, id 999[.]1[.]{i}[.]999 now, or 999.1.{i}.999 now") for i in range(200)]
-    accepted = pii.fit(spark.createDataFrame(docs, "doc_id long, text string"))
-    new = spark.createDataFrame([(1, 'see ("10[.]0[.]0[.]1") there')], "doc_id long, text string")
-    assert pii.detect(new, accepted).select(pii.spelled("all").alias("s")).first().s == "ip:6:20"
+def test_pii_learns_contexts_and_meets_rewritings_that_the_fit_lacked(spark):
+    """Plain data and rule breakers teach; rewritings in styles that no document of the fit has are judged."""
+    rng = np.random.default_rng(8)
+
+    def card(good: bool) -> str:
+        d = rng.integers(0, 10, 15).tolist()
+        d[0] = 4
+        last = next(k for k in range(10) if pii_luhn([*d, k]))
+        return "".join(map(str, [*d, last if good else (last + 1 + int(rng.integers(0, 9))) % 10]))
+
+    four = lambda c, mark: mark.join(c[k : k + 4] for k in range(0, 16, 4))
+    octets = lambda top: [str(int(x)) for x in rng.integers(1, top, 4)]
+    teach = []
+    for i in range(600):
+        bad = octets(255)
+        bad[int(rng.integers(0, 4))] = str(int(rng.integers(300, 999)))
+        teach.append((i, f"pay by card {four(card(True), '-')} now. order id {four(card(False), '-')} then. host {'.'.join(octets(255))} up, version {'.'.join(bad)} out. mail u{i}@h{i}.org and [at] last"))
+    model = pii.fit(spark.createDataFrame(teach, "doc_id long, text string"))
+    judged, want = [], []
+    for i in range(200):
+        a = [f"u{i} {{at}} h{i} {{dot}} org", f"u{i} at h{i} dot org"][i % 2]
+        ip = ["(dot)", " dot ", "[.]"][i % 3].join(octets(255))
+        c, other = four(card(True), "./_"[i % 3]), four(card(True), "./_"[i % 3])
+        text = f"mail {a} or host {ip} up, pay by card {c} now. order id {other} then, be here [at] once"
+        judged.append((i, text))
+        want.append({("email", text.index(a)), ("ip", text.index(ip)), ("card", text.index(c))})
+    rows = pii.detect(spark.createDataFrame(judged, "doc_id long, text string"), model).select("doc_id", pii.spelled("all").alias("s")).collect()
+    got = {r.doc_id: {(x.split(":")[0], int(x.split(":")[1])) for x in r.s.split(",") if x} for r in rows}
+    hits = sum(len(got[i] & w) for i, w in enumerate(want))
+    assert hits >= 0.95 * sum(map(len, want)) and hits >= 0.95 * sum(map(len, got.values()))
+
+
+def pii_luhn(d: list[int]) -> bool:
+    return sum(sum(divmod(2 * x, 10)) if k % 2 else x for k, x in enumerate(reversed(d))) % 10 == 0
+
+
+def test_pii_trees_as_an_expression(spark):
+    rng = np.random.default_rng(1)
+    cells = [(tuple(int(rng.integers(0, n)) for n in pii.FEATURES.values()), int(rng.integers(0, 9)), int(rng.integers(0, 9))) for _ in range(300)]
+    trees = pii.Boosted(cells)
+    rows = spark.createDataFrame([c[0] for c in cells], ", ".join(f"{n} int" for n in pii.FEATURES)).select("*", trees.expression(F.col).alias("s")).collect()
+    assert len(trees.trees) == pii.ROUNDS and all(abs(r.s - trees.score(tuple(r)[:-1])) < 1e-9 for r in rows)
 
 
 def test_boosted_trees_separate_cells():
-    cells = [((0, d, 1, 0, 0, r, 0), 0 if r and d > 2 else 50, 50 if r and d > 2 else 0) for d in range(6) for r in (0, 1)]
+    cells = [((0, d, 1, 0, 0, 0, 0, w), 0 if w and d > 2 else 50, 50 if w and d > 2 else 0) for d in range(6) for w in (0, 1)]
     trees = pii.Boosted(cells)
     assert all((trees.score(x) > 0) == (p > 0) for x, _, p in cells)
 

@@ -73,8 +73,12 @@ def reply_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
         jump = level.select("tree_id", "node_id", "anc").where("anc is not null")
         higher = paths.join(jump, ["tree_id", "node_id"]).select("tree_id", "leaf", "branch_rank", "path_score", F.col("anc").alias("node_id"), (F.col("above") + (1 << k)).alias("above"))
         # each round reads the one before twice, so plans that weren't cut would double with every round
-        paths = common.written(paths.unionByName(higher), "paths")
-    return paths
+        longer = common.written(paths.unionByName(higher), "paths")
+        common.drop_written(paths)
+        paths = longer
+    out = paths if hasattr(paths, "path_") else common.written(paths, "paths")
+    common.drop_written(*levels)
+    return out
 
 
 def format_paths(nodes: DataFrame, paths: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -100,23 +104,36 @@ def conversation_nodes(rows: DataFrame) -> DataFrame:
     return numbered.select(F.col("conv_id").alias("tree_id"), "node_id", F.when(F.col("node_id") > 1, F.col("node_id") - 1).alias("parent_id"), "role", "text", F.char_length(F.coalesce("text", F.lit(""))).alias("score"))
 
 
+def written_nodes(rows: DataFrame) -> DataFrame:
+    """The nodes of conversations, written; `value` holds the conv_id."""
+    nulls = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))  # join keys hold no null
+    return common.written(conversation_nodes(rows.withColumn("conv_id", F.struct(nulls.alias("key"), "conv_id"))).withColumn("value", F.col("tree_id.conv_id")).withColumn("tree_id", F.col("tree_id.key")), "nodes")
+
+
 def format_conversations(rows: DataFrame, per_tree: int = 1) -> DataFrame:
     """Rows (conv_id, turn, role, text) to one formatted conversation each, through their reply trees."""
-    nulls = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))  # join keys hold no null
-    nodes = common.written(conversation_nodes(rows.withColumn("conv_id", F.struct(nulls.alias("key"), "conv_id"))).withColumn("value", F.col("tree_id.conv_id")).withColumn("tree_id", F.col("tree_id.key")), "nodes")
-    out = format_paths(nodes, reply_paths(nodes, per_tree))
+    nodes = written_nodes(rows)
+    return conversations_of(nodes, reply_paths(nodes, per_tree))
+
+
+def conversations_of(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """The conversations of paths over written_nodes()."""
+    out = format_paths(nodes, paths)
     return out.withColumn("conv_id", F.when(F.col("tree_id") != "null", F.col("tree_id").cast(nodes.schema["value"].dataType)))
 
 
 def op4_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.sql(f"SELECT -1L conv_id, i turn, r role, '{CONTROL_SAMPLE}' text FROM VALUES (0L, 'user'), (1L, 'assistant') t(i, r)")
-    out = format_conversations(rows.unionByName(control))
+    nodes = written_nodes(rows.unionByName(control))
+    paths = reply_paths(nodes)
+    out = conversations_of(nodes, paths)
     turns = parsed(F.col("formatted"))
     loss = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"]))
     out = out.select("conv_id", turns.alias("turns"), F.array_join(loss, "").alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), "formatted_chars")
+    digests = out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), "formatted_chars")
+    return common.settled(digests, "chat", nodes, paths)
 
 
 SQL = f"""

@@ -14,7 +14,7 @@ aligned documents that hold every possible repeat:
 3. Contexts are short of 2 * LENGTH, so all repeated windows of one overlap, and cover one range. Ranges are merged by document.
 
 What passes between the steps are tables in the shared folder, written and read in sequence: the documents, dealt into buckets
-once (later joins leave the texts where they are), and contexts. An anchor with over HOT occurrences isn't gathered in one
+once (later joins leave the texts where they are), and contexts. The query removes them once its result is written. An anchor with over HOT occurrences isn't gathered in one
 task: its windows are counted by 128-bit hash, combined before the shuffle.
 
 Defined cases: null texts are empty; a text of under LENGTH bytes keeps all; rows that repeat are copies of each other, so all
@@ -158,8 +158,16 @@ def bucketed(docs: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"whole_texts_{uuid.uuid4().hex}"
     rows = common.whole_texts(docs).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull())})
-    rows.repartition(n, "k1", "k2").write.option("compression", "zstd").option("path", f"{common.shared_dir(spark)}/{name}").bucketBy(n, "k1", "k2").saveAsTable(name)
-    return spark.table(name)
+    path = f"{common.shared_dir(spark)}/{name}"
+    rows.repartition(n, "k1", "k2").write.option("compression", "zstd").option("path", path).bucketBy(n, "k1", "k2").saveAsTable(name)
+    out = spark.table(name)
+    out.path_, out.table_ = path, name
+    return out
+
+
+def drop_bucketed(rows: DataFrame) -> None:
+    rows.sparkSession.sql(f"DROP TABLE IF EXISTS {rows.table_}")
+    common.drop_written(rows)
 
 
 def removed_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -248,13 +256,19 @@ def removed_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     repeated = each.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("h1", "h2")
     counted = each.join(repeated, ["h1", "h2"]).groupBy("digest").agg(F.min("start").alias("first"), F.max("start").alias("last"))
     found = usual.unionByName(counted)
-    return held.select("k1", "k2", "lo", "digest").join(found, "digest").select("k1", "k2", (F.col("lo") + F.col("first")).alias("start"), (F.col("lo") + F.col("last") + length).alias("stop"))
+    ranges = held.select("k1", "k2", "lo", "digest").join(found, "digest").select("k1", "k2", (F.col("lo") + F.col("first")).alias("start"), (F.col("lo") + F.col("last") + length).alias("stop"))
+    return common.settled(ranges, "ranges", held)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept holds the bytes left of each text."""
     rows = bucketed(docs)
-    spans = removed_ranges(rows, length, gram, hot).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return without(rows, removed_ranges(rows, length, gram, hot))
+
+
+def without(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """dedup()'s result, from the documents (doc_id, text, k1, k2) and the ranges to remove."""
+    spans = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def cut(it: Iterator) -> Iterator:
         import pyarrow as pa
@@ -275,10 +289,14 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    id_type = rows.schema["doc_id"].dataType.simpleString()
     return rows.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op2_columnwise_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(common.table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    rows = bucketed(common.table(spark, sf_dir, "documents"))
+    ranges = removed_ranges(rows)
+    out = without(rows, ranges).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = common.settled(out, "deduplicated", ranges)
+    drop_bucketed(rows)
+    return found

@@ -186,7 +186,8 @@ def _in_block(spark: SparkSession, docs: DataFrame, items: list[tuple[int, str]]
 
     hits = windows.mapInArrow(score, f"doc_id {id_type}, item_id long, score double, start_word long, end_word long")
     best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word"))).alias("b")
-    return hits.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", "b.start_word", "b.end_word")
+    found = hits.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", "b.start_word", "b.end_word")
+    return common.settled(found, "contaminated", windows)
 
 
 def clean_of(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

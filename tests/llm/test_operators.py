@@ -691,8 +691,9 @@ def test_simhash_whole_tables(documents, texts, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize(("radius", "parts"), [(3, 2), (7, 4)])
-def test_vantage_trees_lose_no_link(spark, radius, parts):
+@pytest.mark.parametrize(("radius", "parts", "tile"), [(3, 2, 16_384), (7, 4, 16_384), (3, 2, 8)])
+def test_vantage_trees_lose_no_link(spark, monkeypatch, radius, parts, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
     rng = np.random.default_rng(9)
     base = rng.integers(0, 2**63, 150, dtype=np.uint64)
     near = [int(b) ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 9), replace=False)) for b in base for _ in range(4)]

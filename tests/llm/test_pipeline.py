@@ -71,9 +71,14 @@ def test_groups_hold_only_what_links_allow(spark):
     assert all(len({of[i] for i in same}) == 1 for same in copies.values())
 
 
+def alike_pairs(texts: list[str]) -> list[tuple[int, int]]:
+    return [(a, b) for a in range(len(texts)) for b in range(a) if five_word_similarity(texts[a], texts[b]) >= 0.8]
+
+
 def test_groups_are_those_of_all_pairs(spark, monkeypatch):
-    """Short texts of one template: many are within the radius, and few of those alike enough, so a forest of the near pairs isn't enough."""
-    monkeypatch.setattr(simhash, "TILE", 64, raising=False)
+    """Short texts of one template: many are near each other, and few of those alike enough, so a forest of the near pairs isn't enough."""
+    monkeypatch.setattr(simhash, "TILE", 64)
+    monkeypatch.setattr(simhash, "SET_TILE", 16)
     rng = np.random.default_rng(12)
     template = [f"w{k}" for k in range(120)]
     texts = []
@@ -82,13 +87,35 @@ def test_groups_are_those_of_all_pairs(spark, monkeypatch):
         for k in rng.choice(120, rng.integers(1, 5), replace=False):
             w[k] = f"e{rng.integers(0, 4)}"
         texts.append(" ".join(w))
-    bits = [simhash.fingerprint(t) for t in texts]
-    pairs = [(a, b) for a in range(300) for b in range(a) if (bits[a] ^ bits[b]).bit_count() <= 7]
-    alike = [(a, b) for a, b in pairs if five_word_similarity(texts[a], texts[b]) >= 0.8]
-    assert 0 < len(alike) < len(pairs) / 2
+    links = alike_pairs(texts)
+    assert 0 < len(links) < 300 * 299 / 8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert [got[i] for i in range(300)] == groups_of(300, links)
+
+
+def test_near_copies_of_every_similarity_are_found(spark):
+    """Near copies just above and just below 0.8; the kept rows are those of the brute-force grouping."""
+    rng = np.random.default_rng(13)
+    texts = []
+    for _ in range(60):
+        base = [f"w{k}" for k in rng.integers(0, 3000, int(rng.integers(40, 400)))]
+        texts.append(" ".join(base))
+        for _ in range(5):
+            w = list(base)
+            for k in rng.choice(len(w), max(1, int(len(w) * rng.uniform(0.002, 0.035))), replace=False):
+                w[k] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join(w))
+    links = alike_pairs(texts)
+    close = [p for p in links if five_word_similarity(texts[p[0]], texts[p[1]]) < 0.85]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
-    assert [got[i] for i in range(300)] == groups_of(300, alike)
+    want = groups_of(len(texts), links)
+    found = sum(got[a] == got[b] for a, b in links)
+    print(f"recall {found / len(links):.4f} of {len(links)} pairs, {sum(got[a] == got[b] for a, b in close)} of {len(close)} below 0.85")
+    assert len(close) > 50 and found >= 0.99 * len(links)
+    kept = {r.doc_id for r in simhash.one_of_each(docs, simhash.similar_groups(docs)).collect()}
+    assert kept == {g for g in got.values()} and len(kept ^ set(want)) <= 1
 
 
 def test_stages_drop_what_they_should_and_nothing_else(spark, documents):

@@ -20,7 +20,7 @@ def _state(links: DataFrame) -> tuple:
 
 def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of `links` (u, v: long): the smallest node reachable. Rounds grow with the logarithm
-    of the longest chain; each is written in the shared folder, and the one before it removed."""
+    of the longest chain; each is written in the shared folder, and the one before it removed; drop_written() of the result removes the last."""
     now = common.written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     state = _state(now)
     for _ in range(most_rounds):
@@ -37,4 +37,6 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out.path_ = now.path_
+    return out

@@ -8,7 +8,9 @@ two fingerprints within 3 bits agree within 1 bit on one half at least, and ther
 A tree is grown on a bounded sample of fingerprints (its choice changes the cost, never the result): every inner node
 has a vantage point and the median distance to it, and its leaves are the shards. Each class goes to its home shard, and as a
 visitor to every shard that the triangle bound leaves within reach of 1 bit. Within a shard, all 64 bits decide
-exactly. (A wider radius works with more, shorter parts in the same way.) Only links that join what was not joined yet leave a shard, so a group of n near copies gives n - 1 of them.
+exactly; one of over TILE classes is worked off in tiles of a block of its home classes and a block of all. (A wider radius works with
+more, shorter parts in the same way.) Only links that join what a tile has not joined yet leave it, so a group of n near copies gives n - 1
+of them.
 
 Defined cases: words are runs of anything but space and \\t \\n \\v \\f \\r, A-Z in lower case; fewer words than a shingle
 are one shingle; texts that are null, empty or blank have fingerprint zero and link like any other; a bit is 1 if it is set in over
@@ -29,8 +31,15 @@ from . import common, components
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Classes in a shard, about, and the deepest tree.
 SHARD, DEEPEST = 512, 20
-#: Rows of a tile in which pairs are checked on their shingles.
-TILE = 2048
+#: Rows of either side of a tile: in which fingerprints are compared, and in which pairs are checked on their shingles.
+TILE, SET_TILE = 16_384, 2048
+#: Bands and rows of the min-hashes: of pairs with similarity 0.8, one in 2,900 has no band in common.
+BANDS, ROWS = 20, 5
+#: Bits in which texts of similarity 0.8 may differ (8 in the mean; one in a million differs in more).
+FAR = 22
+REMEMBERED = 500_000
+#: Multipliers of the min-hashes, and of the words of a shingle.
+MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Fingerprints that decide a tree's shape: so many, or one in 64 of more, up to the second number (16 MB).
 SAMPLE = (40_000, 2_000_000)
 BYTE_AT = np.arange(8, dtype=np.int64)[None, :] * 256
@@ -112,26 +121,26 @@ class Tree:
         return tuple(np.concatenate(c) for c in zip(*done, strict=True))
 
 
-def shard_links(fp: np.ndarray, node: np.ndarray, home: np.ndarray, levels: tuple[int, ...]) -> list[tuple[int, int]]:
-    """Links of the classes of one shard that join what was not joined yet; one side at least is at home. `levels`: the
-    distances up to which links are made in turn, the last one being the radius."""
-    fp = fp.view(np.uint64)
-    order = np.argsort(~home, kind="stable")
-    fp, node, n_home = fp[order], node[order], int(home.sum())
-    group, out = np.arange(len(fp)), []
-    block = max(1, (4 << 20) // max(1, len(fp)))
+def tile_forest(fp: np.ndarray, node: np.ndarray, left: np.ndarray, right: np.ndarray, levels: tuple[int, ...]) -> list[tuple[int, int]]:
+    """Links between the left and the right classes of a tile that join what was not joined yet. `levels`: the distances up to which links are
+    made in turn, the last one being the radius."""
+    a, b = np.flatnonzero(left), np.flatnonzero(right)
+    fp, out = fp.view(np.uint64), []
+    _, who = np.unique(node, return_inverse=True)
+    group = np.arange(who.max(initial=-1) + 1)
+    block = max(1, (4 << 20) // max(1, len(b)))
     for level in levels:
-        for a in range(0, n_home, block):
-            rows = np.arange(a, min(a + block, n_home))
-            near = np.bitwise_count(fp[rows, None] ^ fp[None, :]) <= level
-            near &= np.arange(len(fp))[None, :] > rows[:, None]
+        for at in range(0, len(a), block):
+            rows = a[at : at + block]
+            near = np.bitwise_count(fp[rows, None] ^ fp[None, b]) <= level
+            near &= who[rows, None] != who[None, b]
             for r in np.flatnonzero(near.any(1)):
-                others = np.flatnonzero(near[r])
-                roots, first = np.unique(group[others], return_index=True)
-                new = roots != group[a + r]
+                me, others = who[rows[r]], b[near[r]]
+                roots, first = np.unique(group[who[others]], return_index=True)
+                new = roots != group[me]
                 if new.any():
-                    out += [(int(node[a + r]), int(node[others[f]])) for f in first[new]]
-                    group[np.isin(group, roots[new])] = group[a + r]
+                    out += [(int(node[rows[r]]), int(node[others[f]])) for f in first[new]]
+                    group[np.isin(group, roots[new])] = group[me]
     return out
 
 
@@ -145,7 +154,7 @@ def sharded(classes: DataFrame, radius: int, parts: int, shard: int) -> DataFram
     sample = min(max(SAMPLE[0], n // 64), SAMPLE[1])
     share = min(1.0, sample / max(n, 1))
     picked = classes.select("fp").where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * share) + 1).limit(2 * sample)
-    values = np.array(sorted(r["fp"] for r in picked.collect()), dtype=np.int64).view(np.uint64)  # bounded: the tree's shape only
+    values = np.sort(picked.toArrow().column("fp").to_numpy()).view(np.uint64)  # bounded: the tree's shape only
     depth = min(DEEPEST, max(0, int(np.ceil(np.log2(max(n / shard, 1))))))
     cut = lambda x, k: ((x >> np.uint64(width * k)) & np.uint64((1 << width) - 1)).astype(np.uint32)
     trees = spark.sparkContext.broadcast([Tree(cut(values, k), depth, k) for k in range(parts)])
@@ -163,39 +172,38 @@ def sharded(classes: DataFrame, radius: int, parts: int, shard: int) -> DataFram
     return classes.mapInArrow(route, "shard long, home boolean, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema))
 
 
-def class_links(classes: DataFrame, radius: int = RADIUS, parts: int = 2, levels: tuple[int, ...] = (), shard: int = SHARD) -> DataFrame:
-    """(u, v): links between classes (fp, node), enough to join all that are within `radius` bits; closer ones first, by `levels`."""
-
-    def within(pdf):
-        import pandas as pd
-
-        return pd.DataFrame(shard_links(pdf["fp"].to_numpy(), pdf["node"].to_numpy(), pdf["home"].to_numpy(), levels or (radius,)), columns=["u", "v"]).astype("int64")
+def tiled(placed: DataFrame, tile: int) -> DataFrame:
+    """Rows (shard, home, ...) as rows of tiles (shard, i, j): a row meets as `left` what comes as `right` in its tile. Each home row meets
+    every row of its shard once. A shard of up to `tile` rows is one tile, and its rows aren't repeated."""
+    sizes = placed.groupBy("shard").agg(F.count("*").alias("n_")).where(F.col("n_") > tile).select("shard", F.ceil(F.col("n_") / tile).alias("blocks_"))
+    large = common.written(sizes, "large")  # shards that a tree couldn't split
+    if large.isEmpty():
+        common.drop_written(large)
+        return placed.withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long"), "left": F.col("home"), "right": F.lit(True)}).drop("home")
+    held = placed.join(large, "shard", "left").withColumn("blocks_", F.coalesce("blocks_", F.lit(1).cast("long"))).withColumn("block_", F.pmod(F.xxhash64("node"), F.col("blocks_")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks_") - 1))
+    one = held.where("blocks_ = 1").withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long"), "left": F.col("home"), "right": F.lit(True)})
+    left = held.where("blocks_ > 1 and home").withColumns({"i": F.col("block_"), "j": every, "left": F.lit(True), "right": F.lit(False)})
+    right = held.where("blocks_ > 1").withColumns({"i": every, "j": F.col("block_"), "left": F.lit(False), "right": F.lit(True)})
+    return one.unionByName(left).unionByName(right).drop("home", "blocks_", "block_")
 
-    return sharded(classes.select("fp", "node"), radius, parts, shard).groupBy("shard").applyInPandas(within, "u long, v long")
 
-
-def open_nodes(classes: DataFrame, radius: int, parts: int, shard: int) -> DataFrame:
-    """(node): the classes (fp, node, comp) that have one of another component within `radius` bits."""
+def class_links(classes: DataFrame, radius: int = RADIUS, parts: int = 2, levels: tuple[int, ...] = (), shard: int = SHARD) -> DataFrame:
+    """(u, v): links between classes (fp, node), enough to join all that are within `radius` bits; closer ones first, by `levels`."""
 
     def within(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("home", ascending=False, kind="stable")
-        fp, comp, n_home = pdf["fp"].to_numpy().view(np.uint64), pdf["comp"].to_numpy(), int(pdf["home"].sum())
-        found, block = np.zeros(len(fp), dtype=bool), max(1, (4 << 20) // max(1, len(fp)))
-        for a in range(0, n_home, block):
-            rows = slice(a, min(a + block, n_home))
-            near = (np.bitwise_count(fp[rows, None] ^ fp[None, :]) <= radius) & (comp[rows, None] != comp[None, :])
-            found[rows] |= near.any(1)
-            found |= near.any(0)
-        return pd.DataFrame({"node": pdf["node"].to_numpy()[found]})
+        found = tile_forest(*(pdf[c].to_numpy() for c in ("fp", "node", "left", "right")), levels or (radius,))
+        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
-    return sharded(classes.select("fp", "node", "comp"), radius, parts, shard).groupBy("shard").applyInPandas(within, "node long").distinct()
+    placed = tiled(sharded(classes.select("fp", "node"), radius, parts, shard), TILE)
+    return placed.groupBy("shard", "i", "j").applyInPandas(within, "u long, v long")
 
 
-def tile_links(pdf, radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Links of one tile: pairs of a home row and any row that are within `radius` bits and have the Jaccard similarity of their sets, as far
-    as they join components that neither `comp` nor an earlier link of the tile joined."""
+def tile_links(pdf, similarity: float, far: int = FAR) -> list[tuple[int, int]]:
+    """Links of one tile: pairs of a left and a right row that have the Jaccard similarity of their sets, as far as they join components that
+    neither `comp` nor an earlier link of the tile joined."""
     own = pdf["left"].to_numpy()
     fp, node = pdf["fp"].to_numpy().view(np.uint64), pdf["node"].to_numpy()
     if not own.any() or own.all():
@@ -206,7 +214,7 @@ def tile_links(pdf, radius: int, similarity: float) -> list[tuple[int, int]]:
     _, group = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
     right, out = np.flatnonzero(~own), []
     for r in np.flatnonzero(own):
-        near = right[(np.bitwise_count(fp[right] ^ fp[r]) <= radius) & (group[right] != group[r])]
+        near = right[(np.bitwise_count(fp[right] ^ fp[r]) <= far) & (group[right] != group[r])]
         # the most that sets of such sizes could have in common
         near = near[np.minimum(size[near], size[r]) >= similarity * np.maximum(size[near], size[r])]
         if not len(near):
@@ -224,24 +232,26 @@ def tile_links(pdf, radius: int, similarity: float) -> list[tuple[int, int]]:
     return out
 
 
-def verified_links(classes: DataFrame, sets: DataFrame, similarity: float, radius: int, parts: int, shard: int) -> DataFrame:
-    """(u, v): links between classes (fp, node, comp), enough to join all that are within `radius` bits and alike by their sets (doc_id, set).
-    A shard is worked off in tiles, each of a block of its home rows and a block of all of its rows."""
-    placed = common.written(sharded(classes.select("fp", "node", "comp"), radius, parts, shard), "placed")
-    blocks = placed.groupBy("shard").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
-    held = placed.join(F.broadcast(blocks), "shard").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    columns = ["shard", "i", "j", "left", "fp", "node", "comp"]
-    left = held.where("home").withColumns({"i": F.col("block"), "j": every, "left": F.lit(True)}).select(columns)
-    right = held.withColumns({"i": every, "j": F.col("block"), "left": F.lit(False)}).select(columns)
+def bucket_links(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links between the components of each bucket, of rows (bucket, node, fp, comp), enough to join all that are alike by their
+    sets. Rows of a bucket's largest component meet only the others, in tiles."""
+    counts = open_.groupBy("bucket", "comp").agg(F.count("*").alias("n_"))
+    top = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("n_", "comp")).alias("top_"), F.max("n_").alias("most_"), F.sum("n_").alias("all_"))
+    blocks = lambda n: F.ceil(n / F.lit(SET_TILE))
+    held = open_.join(top.select("bucket", "top_", blocks(F.col("all_") - F.col("most_")).alias("lefts_"), blocks(F.col("all_")).alias("rights_")), "bucket")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["bucket", "i", "j", "left", "fp", "node", "comp"]
+    left = held.where("comp <> top_").withColumns({"i": block("lefts_"), "j": every("rights_"), "left": F.lit(True)}).select(columns)
+    right = held.withColumns({"i": every("lefts_"), "j": block("rights_"), "left": F.lit(False)}).select(columns)
     tiles = left.unionByName(right).join(sets.withColumnRenamed("doc_id", "node"), "node")
 
     def within(pdf):
         import pandas as pd
 
-        return pd.DataFrame(tile_links(pdf, radius, similarity), columns=["u", "v"]).astype("int64")
+        return pd.DataFrame(tile_links(pdf, similarity), columns=["u", "v"]).astype("int64")
 
-    return tiles.groupBy("shard", "i", "j").applyInPandas(within, "u long, v long")
+    return tiles.groupBy("bucket", "i", "j").applyInPandas(within, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -253,7 +263,42 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     joined = prints.join(same, "doc_id", "left_semi").join(classes, "fp").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     labels = components.connected(class_links(classes, radius).unionByName(joined))
     found = classes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(found, "fp", "left").select("doc_id", "fp", "component_id")
+    return common.settled(prints.join(found, "fp", "left").select("doc_id", "fp", "component_id"), "near_duplicates", prints, classes, labels)
+
+
+class Shingles:
+    """Hashes of the word shingles of texts; those of words are remembered."""
+
+    def __init__(self, size: int):
+        self.size, self.seen = size, {}
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        """The hash of each shingle, in order (fewer words are one shingle)."""
+        from xxhash import xxh64_intdigest
+
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        seen = self.seen
+        h = np.fromiter((seen[w] if w in seen else seen.setdefault(w, xxh64_intdigest(w)) for w in words), dtype=np.uint64, count=len(words))
+        with np.errstate(over="ignore"):
+            n = max(1, len(h) - self.size + 1)
+            out = np.full(n, len(h) if len(h) < self.size else self.size, dtype=np.uint64)
+            for k in range(min(self.size, len(h))):
+                out = (out ^ (out >> np.uint64(29))) * MULTIPLIERS[1] + h[k : k + n]
+            out = (out ^ (out >> np.uint64(32))) * MULTIPLIERS[0]
+            return out ^ (out >> np.uint64(29))
+
+    def bands(self, words: list[bytes]) -> np.ndarray:
+        """BANDS numbers, each made of ROWS min-hashes; texts with the number of a band in common are candidates."""
+        h = np.unique(self.hashes(words))
+        least = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(0, len(h), 4096):
+                np.minimum(least, (h[k : k + 4096, None] * MULTIPLIERS).min(0), out=least)
+            out = np.arange(1, BANDS + 1, dtype=np.uint64)
+            for row in least.reshape(BANDS, ROWS).T:
+                out = (out ^ (out >> np.uint64(31))) * MULTIPLIERS[2] + row
+            return out.view(np.int64)
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -262,68 +307,89 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
     def work(it: Iterator) -> Iterator:
         import pyarrow as pa
-        from xxhash import xxh32_intdigest
 
+        shingles = Shingles(shingle)
         for b in common.batches(it):
-            sets = []
-            for t in b.column("text").to_pylist():
-                w = t.encode("utf-8", "surrogatepass").lower().split()
-                h = {xxh32_intdigest(b" ".join(w[k : k + shingle])) for k in range(max(1, len(w) - shingle + 1))}
-                sets.append(np.array(sorted(h), dtype=np.uint32).view(np.int32))
+            sets = [np.unique(shingles.hashes(t.encode("utf-8", "surrogatepass").lower().split()).astype(np.uint32)).view(np.int32) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "set"])
 
     return common.whole_texts(docs).mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set array<int>")
 
 
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sets have the Jaccard similarity."""
+    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("set").alias("b")), "v")
+    common_ = F.size(F.array_intersect("a", "b"))
+    return both.where(common_ >= similarity * (F.size("a") + F.size("b") - common_)).select("u", "v")
+
+
+def with_components(mates: DataFrame, labels: DataFrame) -> DataFrame:
+    """The mates (bucket, node, ...) whose bucket holds several components, with theirs as `comp`."""
+    now = mates.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    several = now.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("bucket")
+    return common.written(now.join(several, "bucket", "left_semi"), "open")
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 7) -> DataFrame:
     """(doc_id, component_id, rows) of each doc_id: groups of texts that are equal word for word, or linked by a Jaccard similarity of
-    their word shingles of at least `similarity`, checked exactly, among all pairs whose fingerprints differ in at most
-    `radius` bits. rows: how many rows hold the id.
+    their word shingles of at least `similarity`, checked exactly. rows: how many rows hold the id.
 
-    A first round checks a spanning forest of those pairs, which joins most of what belongs together. Then every class that still has one of
-    another group within the radius is compared with all such, on the shingles themselves."""
+    Candidates are the pairs whose fingerprints differ in at most `radius` bits, found by the trees: a spanning forest of them, closer ones
+    first. Of pairs with a similarity near 0.8 about half differ in more bits, and what a forest leaves apart may still belong
+    together. So texts that share a band of min-hashes over the same shingles are candidates, too, as far as they are still apart: first each
+    with the one of its bucket that shares most buckets with others, then all that are left in different groups, in tiles."""
 
     def work(it: Iterator) -> Iterator:
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
+        shingles = Shingles(shingle)
         for b in common.batches(it):
-            out = []
+            out, bands = [], []
             for t in b.column("text").to_pylist():
-                same = b" ".join(t.encode("utf-8", "surrogatepass").lower().split())
+                words = t.encode("utf-8", "surrogatepass").lower().split()
+                same = b" ".join(words)
                 out.append((fingerprint(t), xxh64_intdigest(same, 1), xxh64_intdigest(same, 2)))
+                bands.append(shingles.bands(words))
             cols = np.array(out, dtype=np.uint64).view(np.int64).T
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names=["doc_id", "fp", "c1", "c2"])
+            kinds = [*(pa.array(np.ascontiguousarray(c)) for c in cols), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *kinds], names=["doc_id", "fp", "c1", "c2", "bands"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     texts = common.whole_texts(docs).where("doc_id is not null")
-    prints = common.written(texts.mapInArrow(work, f"doc_id {id_type}, fp long, c1 long, c2 long"), "fingerprints")
-    classes = common.written(prints.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp")), "classes")
-    parts, shard = 4, 4096
-    near = class_links(classes, radius, parts, (1, 3, 5, radius), shard)
+    prints = common.written(texts.mapInArrow(work, f"doc_id {id_type}, fp long, c1 long, c2 long, bands array<long>"), "fingerprints")
+    classes = common.written(prints.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), "classes")
+    near = class_links(classes, radius, 4, (1, 3, 5, radius), 4096)
     near = common.written(near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "near")
-    held = near.select(F.explode(F.array("u", "v")).alias("doc_id"))
-    # of rows that repeat an id the first class's text counts
+    each = classes.select("node", "fp", F.explode("bands").alias("bucket"))
+    often = common.written(each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    mates = common.written(each.join(often, "bucket"), "mates")
+    held = near.select(F.explode(F.array("u", "v")).alias("doc_id")).unionByName(mates.select(F.col("node").alias("doc_id")))
+    # of rows that repeat an id the largest set counts
     sets = common.written(shingle_sets(common.join_ids(texts, held, "left_semi"), shingle).groupBy("doc_id").agg(F.max_by("set", F.size("set")).alias("set")), "sets")
-    both = near.join(sets.select(F.col("doc_id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("set").alias("b")), "v")
-    common_ = F.size(F.array_intersect("a", "b"))
-    alike = both.where(common_ >= similarity * (F.size("a") + F.size("b") - common_)).select("u", "v")
-    by_id = prints.join(classes, ["c1", "c2"]).select("doc_id", "node")
-    labels = components.connected(alike.unionByName(by_id.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))).where("u <> v"))
-    lone = classes.select("fp", "node").join(sets.select(F.col("doc_id").alias("node")), "node", "left_semi")
-    left = common.written(lone.join(labels, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("comp")), "left")
-    open_ = common.written(open_nodes(left, radius, parts, shard), "open")
+    by_id = prints.join(classes, ["c1", "c2"]).select(F.col("doc_id").alias("u"), F.col("node").alias("v")).where("u <> v")
+    labels = components.connected(alike(near, sets, similarity).unionByName(by_id))
+    done = [prints, classes, near, often, mates, sets, labels]
+    edges = lambda: labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    open_ = with_components(mates, labels)
     if not open_.isEmpty():
-        more = common.written(verified_links(left.join(open_, "node", "left_semi"), sets, similarity, radius, parts, shard), "more")
-        if not more.isEmpty():
-            labels = components.connected(more.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+        degree = open_.groupBy("node").agg(F.sum("n").alias("degree_"))
+        hubs = open_.join(degree, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "comp"), F.struct("degree_", -F.col("node"))).alias("hub_"))
+        star = open_.join(hubs, "bucket").where("comp <> hub_.comp").select(F.col("node").alias("u"), F.col("hub_.node").alias("v")).distinct()
+        labels = components.connected(alike(star, sets, similarity).unionByName(edges()))
+        done.append(labels)
+        left = with_components(open_.drop("comp"), labels)
+        if not left.isEmpty():
+            labels = components.connected(bucket_links(left, sets, similarity).unionByName(edges()))
+            done.append(labels)
+        common.drop_written(left)
     ids = prints.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    return ids.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"), "rows")
+    out = ids.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"), "rows")
+    return common.settled(out, "groups", open_, *done)
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The row of the smallest doc_id of each group of similar_groups(); rows without doc_id stay."""
-    groups = common.written(groups, "groups")
     kept = common.join_ids(docs, groups.where("component_id <> doc_id"), "left_anti")
     several = groups.where("component_id = doc_id and rows > 1").select("doc_id")
     if several.isEmpty():

@@ -52,7 +52,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = common.written(docs, f"stage_{name}")
+            docs = common.settled(docs, f"stage_{name}", before)
+    common.drop_written(before)  # the last stage's result is a table of its own
     return docs

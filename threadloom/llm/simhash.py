@@ -37,7 +37,7 @@ TILE, SET_TILE = 16_384, 2048
 BANDS, ROWS = 20, 5
 #: Bits in which texts of similarity 0.8 may differ (8 in the mean; one in a million differs in more).
 FAR = 22
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Multipliers of the min-hashes, and of the words of a shingle.
 MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Fingerprints that decide a tree's shape: so many, or one in 64 of more, up to the second number (16 MB).
@@ -330,13 +330,13 @@ def with_components(mates: DataFrame, labels: DataFrame) -> DataFrame:
     return common.written(now.join(several, "bucket", "left_semi"), "open")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 7) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """(doc_id, component_id, rows) of each doc_id: groups of texts that are equal word for word, or linked by a Jaccard similarity of
     their word shingles of at least `similarity`, checked exactly. rows: how many rows hold the id.
 
     Candidates are the pairs whose fingerprints differ in at most `radius` bits, found by the trees: a spanning forest of them, closer ones
-    first. Of pairs with a similarity near 0.8 about half differ in more bits, and what a forest leaves apart may still belong
-    together. So texts that share a band of min-hashes over the same shingles are candidates, too, as far as they are still apart: first each
+    first. Pairs with a similarity near 0.8 differ in 8 bits in the mean, where trees over parts of 16 bits prune next to nothing (7 bits made
+    115 visits a class among 230,000 classes, and more with more of them); and what a forest leaves apart may still belong together. So texts that share a band of min-hashes over the same shingles are candidates, too, as far as they are still apart: first each
     with the one of its bucket that shares most buckets with others, then all that are left in different groups, in tiles."""
 
     def work(it: Iterator) -> Iterator:
@@ -359,7 +359,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     texts = common.whole_texts(docs).where("doc_id is not null")
     prints = common.written(texts.mapInArrow(work, f"doc_id {id_type}, fp long, c1 long, c2 long, bands array<long>"), "fingerprints")
     classes = common.written(prints.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), "classes")
-    near = class_links(classes, radius, 4, (1, 3, 5, radius), 4096)
+    near = class_links(classes, radius, levels=(1, radius))
     near = common.written(near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "near")
     each = classes.select("node", "fp", F.explode("bands").alias("bucket"))
     often = common.written(each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "often")

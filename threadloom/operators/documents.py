@@ -73,6 +73,8 @@ def merged_search(files: DataFrame, term: str, limit: int) -> DataFrame:
     return kept.orderBy("rank", "relative_path", "place").limit(limit).select("phase", "rank", "relative_path", "place", (F.col("found") > limit).alias("truncated"))
 
 
+#: Files that a query of under three characters looks through.
+SHORT_QUERY_FILES = 4_000
 FILES = f"WITH {T.FILES}"
 FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -198,10 +200,10 @@ def h6(spark, sf_dir):
     return merged_search(T.files(spark, sf_dir), "token", 500)
 
 
-@query("h2_short_query", f"{FILES}, first AS (SELECT * FROM files ORDER BY relative_path LIMIT 400) SELECT doc_id FROM first WHERE contains({FOLD.format('text')}, 'zz')")
+@query("h2_short_query", f"{FILES}, first AS (SELECT * FROM files ORDER BY relative_path LIMIT {SHORT_QUERY_FILES}) SELECT doc_id FROM first WHERE contains({FOLD.format('text')}, 'zz')")
 def h2(spark, sf_dir):
     """Texts of under three characters are looked for in the first files by path only."""
-    return T.files(spark, sf_dir).orderBy("relative_path").limit(400).where(X.contains_fold(F.col("text"), "zz")).select("doc_id")
+    return T.files(spark, sf_dir).orderBy("relative_path").limit(SHORT_QUERY_FILES).where(X.contains_fold(F.col("text"), "zz")).select("doc_id")
 
 
 @query("s9_incremental_replace", f"{FILES}, changed AS (SELECT doc_id, relative_path, 'changed ' || text AS text FROM files WHERE doc_id % 10 = 0), now AS (SELECT doc_id, relative_path, text FROM files WHERE doc_id NOT IN (SELECT doc_id FROM changed) UNION ALL FROM changed) SELECT doc_id, length(text) AS size FROM now")
@@ -234,3 +236,37 @@ def p13(spark, sf_dir):
 @query("p16_utf16_length", r"SELECT doc_id, length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS units FROM documents")
 def p16(spark, sf_dir):
     return T.table(spark, sf_dir, "documents").select("doc_id", X.utf16_length(F.col("text")).cast("long").alias("units"))
+
+
+@query("h7_freshness", f"{FILES}, hit AS (SELECT doc_id, relative_path, content_hash FROM files WHERE contains({FOLD.format('text')}, 'token')), now AS (SELECT relative_path, sha256(CASE WHEN doc_id % 10 = 0 THEN 'changed ' || text ELSE text END) AS content_hash FROM files WHERE doc_id % 17 <> 0) SELECT h.doc_id, h.relative_path, (SELECT count(*) FROM hit h LEFT JOIN now USING (relative_path, content_hash) WHERE now.relative_path IS NULL) > 0 AS truncated FROM hit h JOIN now USING (relative_path, content_hash)")
+def h7(spark, sf_dir):
+    """Hits of an index whose file still has the indexed contents; stale and removed ones are dropped, and that is told."""
+    files = T.files(spark, sf_dir)
+    hits = files.where(X.contains_fold(F.col("text"), "token")).select("doc_id", "relative_path", "content_hash")
+    now = files.where("doc_id % 17 <> 0").select("relative_path", F.when(F.expr("doc_id % 10 = 0"), F.sha2(F.concat(F.lit("changed "), "text"), 256)).otherwise(F.col("content_hash")).alias("now"))
+    judged = hits.join(now, "relative_path", "left").select("doc_id", "relative_path", F.coalesce(F.col("now") == F.col("content_hash"), F.lit(False)).alias("fresh"))
+    stale = judged.agg((F.count_if(~F.col("fresh")) > 0).alias("truncated"))  # one row
+    return judged.where("fresh").join(F.broadcast(stale)).select("doc_id", "relative_path", "truncated")
+
+
+SECRETS = ("token", "token = ", "license", "idiot", "copyright")
+
+
+def mask_patterns(text: Column, patterns: tuple[str, ...]) -> Column:
+    """The text with each leftmost-longest occurrence of a pattern masked."""
+    longest_first = sorted(set(patterns), key=lambda p: (-len(p), p))
+    return F.regexp_replace(text, "|".join(f"\\Q{p}\\E" for p in longest_first), "[REDACTED]")
+
+
+@query("p20_multi_redaction", f"SELECT doc_id, md5(regexp_replace(text, '{'|'.join(sorted(SECRETS, key=lambda p: (-len(p), p)))}', '[REDACTED]', 'g')) AS digest, regexp_matches(text, '{'|'.join(SECRETS)}') AS masked FROM documents WHERE text IS NOT NULL")
+def p20(spark, sf_dir):
+    d = T.table(spark, sf_dir, "documents").where("text is not null")
+    masked = mask_patterns(F.col("text"), SECRETS)
+    return d.select("doc_id", F.md5(masked).alias("digest"), (masked != F.col("text")).alias("masked"))
+
+
+@query("s11_quotas", f"{FILES} SELECT source, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, CASE WHEN count(*) > 50 THEN 'files' WHEN sum(size_bytes) > 110000 THEN 'bytes' END AS exceeded FROM files GROUP BY source")
+def s11(spark, sf_dir):
+    """What each source holds, and the quota that it exceeds first."""
+    held = T.files(spark, sf_dir).groupBy("source").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
+    return held.withColumn("exceeded", F.when(F.col("files") > 50, "files").when(F.col("bytes") > 110_000, "bytes"))

@@ -148,13 +148,6 @@ def transitions(spark, sf_dir) -> DataFrame:
     return T.runtime_events(spark, sf_dir).select("trace_id", F.col("k").alias("source"), nxt.alias("target")).where("source is not null and target is not null").distinct()
 
 
-def sql_transitions(spark, sf_dir) -> DataFrame:
-    """The transitions that g6's SQL works on: traces below 'trace-3', and k modulo 30, as its recursion is too slow for more."""
-    e = T.runtime_events(spark, sf_dir).where("trace_id < 'trace-3'")
-    nxt = F.lead("k").over(Window.partitionBy("trace_id").orderBy("event_id"))
-    return e.select("trace_id", F.expr("k % 30").alias("source"), (nxt % 30).alias("target")).where("target is not null").distinct()
-
-
 CALLS = f"""WITH {T.NODES}, calls AS (SELECT DISTINCT 'endpoint:' || l_orderkey AS source, CASE l_orderkey % 3 WHEN 0 THEN 'db.' || upper(p_name) || '()' WHEN 1 THEN 'api::' || s_name || '(1)' ELSE 'self.x.Nation_' || (l_partkey % 40) || '(y)' END AS callee FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
   keyed AS (SELECT *, lower(regexp_extract(string_split(callee, '(')[1], '([^.:]+)$', 1)) AS key FROM calls),
   declared AS (SELECT lower(trim(label)) AS key, min(id) AS target FROM nodes WHERE kind IN ('service', 'repository', 'controller', 'model', 'class') GROUP BY 1 HAVING count(DISTINCT id) = 1),
@@ -217,20 +210,20 @@ def g18(spark, sf_dir):
 
 @query(
     "g6_strong_components",
-    f"""WITH RECURSIVE {T.EVENTS}, e AS (SELECT DISTINCT trace_id, k % 30 AS a, lead(k) OVER (PARTITION BY trace_id ORDER BY event_id) % 30 AS b FROM runtime_events WHERE trace_id < 'trace-3'),
-  r(trace_id, a, b) AS (SELECT trace_id, a, b FROM e WHERE b IS NOT NULL UNION SELECT r.trace_id, r.a, e.b FROM r JOIN e ON e.trace_id = r.trace_id AND e.a = r.b WHERE e.b IS NOT NULL),
+    f"""WITH RECURSIVE {T.EVENTS}, e AS (SELECT DISTINCT trace_id, k AS a, lead(k) OVER (PARTITION BY trace_id ORDER BY event_id) AS b FROM runtime_events),
+  r(trace_id, a, b) AS (SELECT trace_id, a, b FROM e WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT r.trace_id, r.a, e.b FROM r JOIN e ON e.trace_id = r.trace_id AND e.a = r.b WHERE e.b IS NOT NULL),
   m AS (SELECT x.trace_id, x.a AS id, x.b AS other FROM r x JOIN r y ON y.trace_id = x.trace_id AND y.a = x.b AND y.b = x.a WHERE x.a <> x.b)
   SELECT trace_id, id, least(id, min(other)) AS component, count(DISTINCT other) + 1 AS size FROM m GROUP BY trace_id, id""",
 )
 def g6(spark, sf_dir):
-    """Cycles in what follows what, of the users that its SQL takes: each graph is small, and graphs are spread over tasks."""
+    """Cycles in what follows what, of every user: each graph is small, and graphs are spread over tasks."""
 
     def solve(key, pdf):
         out = strong_components(pdf)
         out.insert(0, "trace_id", key[0])
         return out
 
-    return sql_transitions(spark, sf_dir).groupBy("trace_id").applyInPandas(solve, "trace_id string, id long, component long, size long")
+    return transitions(spark, sf_dir).groupBy("trace_id").applyInPandas(solve, "trace_id string, id long, component long, size long")
 
 
 @query("g8_communities")

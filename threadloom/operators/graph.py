@@ -273,3 +273,22 @@ def j10(spark, sf_dir):
     e = T.edges(spark, sf_dir)
     ends = e.select(F.col("source").alias("id")).union(e.select("target")).distinct().withColumn("there", F.lit(True))
     return T.nodes(spark, sf_dir).where("kind in ('class', 'model')").join(ends, "id", "left").select("id", F.coalesce("there", F.lit(False)).alias("connected"))
+
+
+@query("j4_edge_owner", f"{GRAPH} SELECT e.id, o.label AS owner, t.label AS target FROM edges e JOIN nodes o ON o.id = e.source JOIN nodes t ON t.id = e.target WHERE e.kind = 'requests'")
+def j4(spark, sf_dir):
+    """Requests with their owner's and their target's label."""
+    n = T.nodes(spark, sf_dir)
+    end = lambda name, out: n.select(F.col("id").alias(name), F.col("label").alias(out))
+    e = T.edges(spark, sf_dir).where("kind = 'requests'").select("id", "source", F.col("target").alias("to"))
+    return e.join(end("source", "owner"), "source").join(end("to", "target"), "to").select("id", "owner", "target")
+
+
+@query("h8_node_search", f"""{GRAPH}, d AS (SELECT id, count(*) AS n FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1)
+  SELECT id, CAST(CASE kind WHEN 'endpoint' THEN 80 WHEN 'controller' THEN 55 ELSE 4 END + coalesce(n, 0) AS BIGINT) AS score FROM nodes LEFT JOIN d USING (id) WHERE contains(lower(label || ' ' || kind || ' ' || file_path || ' ' || string_split(file_path, '/')[1]), 'red') ORDER BY score DESC, id LIMIT 20""")
+def h8(spark, sf_dir):
+    """Nodes whose label, kind, path or group holds a word, best first."""
+    n = T.nodes(spark, sf_dir)
+    hit = n.where(X.contains_fold(F.concat_ws(" ", "label", "kind", "file_path", X.flow_group(F.col("file_path"))), "RED"))
+    score = F.when(F.col("kind") == "endpoint", 80).when(F.col("kind") == "controller", 55).otherwise(4) + F.col("degree")
+    return degrees(hit, T.edges(spark, sf_dir)).select("id", score.cast("long").alias("score")).orderBy(F.desc("score"), "id").limit(20)

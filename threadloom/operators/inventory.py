@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from threadloom.catalog import query
 from threadloom.functions import text as X
+from threadloom.plans.stages import written
 from threadloom.sources import tables as T
 
 KEY = ["service", "method", "route_path"]
@@ -35,17 +36,26 @@ def with_service(operations: DataFrame) -> DataFrame:
     return operations.join(producer_services(operations), ["method", "route_path"], "left").withColumn("service", adopted)
 
 
-def canonical(operations: DataFrame) -> DataFrame:
-    """One operation for each (service, method, route), with the counts of its group. A ranked minimum and conditional counts
-    in one aggregation: its partial sums leave little to shuffle, where a window would move and sort every fact."""
+def routes(operations: DataFrame) -> DataFrame:
+    """A row for each (source_service, method, route_path, role): the first operation (`c`) and its order (`o`), the first by path (`client`), and
+    how many there are. Partial sums leave little to shuffle, and it is written, so that what is derived from it doesn't read the facts again."""
     rank = F.when(F.col("framework") == "OpenAPI", 0).when(F.col("framework") == "Utoipa", 1).otherwise(2)
     order = F.struct(rank.alias("a"), F.when(F.col("role") == "producer", 0).otherwise(1).alias("b"), "file_path", "id")
-    count = lambda role: F.count_if(F.col("role") == role)
+    first = F.min_by(F.struct("id", "file_path", "framework", "api_group"), order)
+    grouped = eligible(operations).groupBy("source_service", "method", "route_path", "role")
+    return written(grouped.agg(first.alias("c"), F.min(order).alias("o"), F.min(F.struct("file_path", "id")).alias("client"), F.count("*").alias("n")), "routes")
+
+
+def canonical(operations: DataFrame) -> DataFrame:
+    """One operation for each (service, method, route), with the counts of its group and its first client: a ranked minimum and conditional
+    sums in one aggregation, where a window would move and sort every fact."""
+    count = lambda role: F.sum(F.when(F.col("role") == role, F.col("n")).otherwise(0))
+    client = F.min(F.when(F.col("role") == "consumer", F.col("client")))
     return (
-        with_service(eligible(operations))
+        with_service(routes(operations))
         .groupBy(*KEY)
-        .agg(F.min_by(F.struct("id", "file_path", "framework", "api_group"), order).alias("c"), count("producer").alias("producers"), count("consumer").alias("consumers"), count("unknown").alias("unknowns"), F.count("*").alias("occurrences"))
-        .select(*KEY, "c.id", "c.file_path", "c.framework", "c.api_group", "producers", "consumers", "unknowns", "occurrences")
+        .agg(F.min_by("c", "o").alias("c"), count("producer").alias("producers"), count("consumer").alias("consumers"), count("unknown").alias("unknowns"), F.sum("n").alias("occurrences"), client.alias("client"))
+        .select(*KEY, "c.id", "c.file_path", "c.framework", "c.api_group", "producers", "consumers", "unknowns", "occurrences", F.col("client.id").alias("first_client"))
         .withColumn("role", F.when(F.col("producers") > 0, "producer").when(F.col("consumers") > 0, "consumer").otherwise("unknown"))
     )
 
@@ -88,7 +98,7 @@ CANONICAL = f"""WITH {T.OPERATIONS}, matched AS (
 
 @query("w1_canonical_operation", f"{CANONICAL} SELECT * FROM canonical")
 def w1(spark, sf_dir):
-    return canonical(T.operations(spark, sf_dir))
+    return canonical(T.operations(spark, sf_dir)).drop("first_client")
 
 
 @query("a4_unique_producer", f"WITH {T.OPERATIONS} SELECT method, route_path, count(DISTINCT source_service) AS services, min(source_service) AS only_service FROM operations WHERE role = 'producer' GROUP BY ALL")
@@ -128,9 +138,7 @@ def l2(spark, sf_dir):
     f"""{CANONICAL} SELECT c.id, c.service, c.method, c.route_path, (SELECT min_by(p.id, (p.file_path, p.id)) FROM placed p WHERE p.role = 'consumer' AND p.service = c.service AND p.method = c.method AND p.route_path = c.route_path) AS first_client FROM canonical c""",
 )
 def j11(spark, sf_dir):
-    placed = with_service(eligible(T.operations(spark, sf_dir)))
-    first = placed.where("role = 'consumer'").groupBy(*KEY).agg(F.min_by("id", F.struct("file_path", "id")).alias("first_client"))
-    return canonical(T.operations(spark, sf_dir)).select("id", *KEY).join(first, KEY, "left").select("id", *KEY, "first_client")
+    return canonical(T.operations(spark, sf_dir)).select("id", *KEY, "first_client")
 
 
 @query(
@@ -201,3 +209,24 @@ def p11(spark, sf_dir):
 @query("f11_remote_target", r"SELECT page_id, NOT (regexp_extract(lower(url), 'https?://([^/?#:]*)', 1) IN ('localhost', '0.0.0.0') OR regexp_extract(lower(url), 'https?://([^/?#:]*)', 1) LIKE '127.%') AND regexp_matches(lower(url), 'https?://') AS remote FROM pages")
 def f11(spark, sf_dir):
     return T.table(spark, sf_dir, "pages").select("page_id", X.remote_target(F.col("url")).alias("remote"))
+
+
+@query("p25_request_path", r"SELECT page_id, CASE WHEN p = '' THEN '/' ELSE p END AS path FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '/+$', '') AS p FROM pages)")
+def p25(spark, sf_dir):
+    """The path of a URL or of a bare path, without query and trailing slashes."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", ""), "/+$", "")
+    return T.table(spark, sf_dir, "pages").select("page_id", F.when(bare == "", "/").otherwise(bare).alias("path"))
+
+
+@query("a7_first_two_services", f"WITH {T.OPERATIONS}, d AS (SELECT DISTINCT method, route_path, source_service FROM operations WHERE role = 'producer') SELECT method, route_path, source_service, row_number() OVER (PARTITION BY method, route_path ORDER BY source_service) AS nth FROM d QUALIFY nth <= 2")
+def a7(spark, sf_dir):
+    """Two services at most of each route: enough to tell one from several."""
+    made = eligible(T.operations(spark, sf_dir)).where("role = 'producer'").select("method", "route_path", "source_service").distinct()
+    nth = F.row_number().over(Window.partitionBy("method", "route_path").orderBy("source_service"))
+    return made.withColumn("nth", nth).where("nth <= 2").select("method", "route_path", "source_service", F.col("nth").cast("long").alias("nth"))
+
+
+@query("a8_route_scalars", f"WITH {T.OPERATIONS} SELECT method, count(DISTINCT source_service) AS services, count(DISTINCT route_path) AS routes, min(source_service) AS first_service, min(id) AS first_id FROM operations WHERE role = 'consumer' GROUP BY method")
+def a8(spark, sf_dir):
+    o = eligible(T.operations(spark, sf_dir)).where("role = 'consumer'")
+    return o.groupBy("method").agg(F.count_distinct("source_service").alias("services"), F.count_distinct("route_path").alias("routes"), F.min("source_service").alias("first_service"), F.min("id").alias("first_id"))

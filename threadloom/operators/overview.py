@@ -29,8 +29,12 @@ def seeds(nodes: DataFrame, edges: DataFrame, limit: int = 50) -> DataFrame:
     placed = eligible(nodes).withColumn("layer", X.system_layer(F.col("kind"), F.col("label"), F.col("file_path"))["layer"]).join(ends, "id", "left")
     category = F.when(F.col("kind").isin("endpoint", "controller"), 0).when(F.col("kind").isin("api", "external-api", "externalapi"), 2).when(F.col("kind") == "event", 3).otherwise(1)
     order = [F.when(F.col("connected"), 0).otherwise(1), F.when(F.col("layer") == "data", F.when(F.col("kind").isin("repository", "model", "database", "table", "schema", "entity"), 0).otherwise(1)).otherwise(0), X.ascii_fold(F.col("label")), "id"]
-    placed = placed.withColumn("category", category).withColumn("nth", F.row_number().over(Window.partitionBy("layer", "category").orderBy(*order)))
-    placed = placed.withColumn("project", F.when(F.col("layer") == "entry", F.row_number().over(Window.partitionBy("layer", X.flow_group(F.col("file_path"))).orderBy(*order))).otherwise(1)).where("project = 1")
+    # limits are literals next to their windows, so that each task keeps a few rows of a group before anything is shuffled
+    of_project = F.row_number().over(Window.partitionBy(X.flow_group(F.col("file_path"))).orderBy(*order))
+    entries = placed.where("layer = 'entry'").withColumn("nth", of_project).where("nth <= 1").drop("nth")
+    placed = placed.where("layer <> 'entry'").unionByName(entries).withColumn("category", category)
+    most = max(QUOTAS.values())
+    placed = placed.withColumn("nth", F.row_number().over(Window.partitionBy("layer", "category").orderBy(*order))).where(F.col("nth") <= most)
     first = F.col("nth") <= F.when(F.col("category") == 0, 3).when(F.col("category") == 1, 2).otherwise(1)
     kept_first = F.when(F.col("layer") == "interface", F.when(first, F.col("category")).otherwise(9)).otherwise(0)
     quota = F.create_map(*(F.lit(x) for kv in QUOTAS.items() for x in kv))[F.col("layer")]
@@ -177,3 +181,11 @@ def s20(spark, sf_dir):
 def s8(spark, sf_dir):
     """A graph written anew in one go, and read back."""
     return written(T.nodes(spark, sf_dir), "graph").groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.char_length("label")).alias("characters"))
+
+
+@query("l6_layered_sort", f"{SEEDS.replace('SELECT id, layer, turn FROM o', ', cut AS (SELECT id, label, layer FROM o')}) SELECT id, layer, row_number() OVER (ORDER BY layer, lower(label), id) AS position FROM cut")
+def l6(spark, sf_dir):
+    """The overview's seeds (50 at most) in one order: by layer, label and id."""
+    order = Window.orderBy("layer", X.ascii_fold(F.col("label")), "id")
+    picked = seeds(T.nodes(spark, sf_dir), T.edges(spark, sf_dir)).join(T.nodes(spark, sf_dir).select("id", "label"), "id")
+    return picked.select("id", "layer", F.row_number().over(order).cast("long").alias("position"))

@@ -62,9 +62,9 @@ CODE = "CASE doc_id % 5 WHEN 0 THEN 'M ' WHEN 1 THEN ' M' WHEN 2 THEN '??' WHEN
 
 @query("s18_git_status", f"{FILES} SELECT source, relative_path AS path, left({CODE}, 1) AS index, right({CODE}, 1) AS worktree, doc_id % 5 IN (0, 3, 4) AS staged, doc_id % 5 = 3 AS conflicted FROM files")
 def s18(spark, sf_dir):
-    """Status records of each source's files, written as porcelain text and parsed back."""
+    """Status records of each source's files, written as porcelain text, 256 ids a text at most, and parsed back."""
     code = F.element_at(F.array(*(F.lit(c) for c in ("M ", " M", "??", "UU", "A "))), F.expr("cast(doc_id % 5 as int) + 1"))
-    raw = T.files(spark, sf_dir).groupBy("source").agg(F.array_join(F.sort_array(F.collect_list(F.concat(code, F.lit(" "), "relative_path"))), "\u0000").alias("raw"))
+    raw = T.files(spark, sf_dir).groupBy("source", F.expr("doc_id div 256")).agg(F.array_join(F.sort_array(F.collect_list(F.concat(code, F.lit(" "), "relative_path"))), "\u0000").alias("raw"))
     return raw.select("source", F.explode(parse_status(F.col("raw"))).alias("s")).select("source", "s.path", "s.index", "s.worktree", "s.staged", "s.conflicted")
 
 

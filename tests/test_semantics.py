@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from threadloom.functions import text as X
 from threadloom.functions.identity import stable_id
-from threadloom.operators import documents, flows, graph, inventory
+from threadloom.operators import documents, flows, graph, inventory, views
 from threadloom.sources import protocols
 from threadloom.sources import tables as T
 
@@ -141,3 +141,42 @@ def test_communities_are_of_all_traces_and_values(spark):
             pairs.setdefault(a.trace_id, set()).add((a.k, b.k))
     want = {(t, i, c) for t, p in pairs.items() for i, c in flows.label_communities(sorted({i for x in p for i in x}), sorted(p)).items()}
     assert {tuple(r) for r in flows.g8(spark, SMALL).collect()} == want
+
+
+def test_query_texts_are_checked():
+    assert views.checked_text("  a b ") == "a b" and views.checked_text("  ") is None and views.checked_text(None) is None
+    for bad in ("x" * 257, "a\x00b"):
+        with pytest.raises(ValueError):
+            views.checked_text(bad)
+
+
+def test_pages_of_links_follow_each_other_and_cursors_are_bound(spark):
+    edges = spark.createDataFrame([(f"e{i:02}", "r", f"class:{i}", "contains") for i in range(4)] + [("e90", "r", "x", "calls"), ("e00b", "y", "r", "calls")], "id string, source string, target string, kind string")
+    links = views.link_families(edges, F.col("root") == "r")
+    cursor, seen = None, []
+    for _ in range(5):
+        rows = views.link_page(links, "r", 2, 2, True, cursor).orderBy("place").collect()
+        seen += [r["id"] for r in rows]
+        cursor = rows[-1]["next_cursor"]
+        if cursor is None:
+            break
+    assert seen == ["e00", "e01", "e02", "e03", "e90", "e00b"]
+    with pytest.raises(ValueError):
+        views.cursor_offset(views.page_cursor("r", 2, 2, True, 4), "r", 3, 2, True)
+
+
+def test_receivers_reject_repeats_and_what_is_beyond_their_bound(spark):
+    rows = [("a", "t1", "s1", 1), ("a", "t1", "s1", 2), ("a", "t2", "s1", 3), ("a", "t3", "s1", 4), ("b", "t1", "s1", 5)]
+    out = views.receiver_counters(spark.createDataFrame(rows, "receiver string, trace_id string, span_id string, at long"), most=2)
+    assert sorted(map(tuple, out.collect())) == [("a", 2, 2, 2), ("b", 1, 0, 1)]
+
+
+def test_snapshots_show_a_suffix_of_the_latest_sessions(spark):
+    rows = [("old", 1), ("one", 2), *(("two", i) for i in range(3, 8))]
+    out = views.session_snapshots(spark.createDataFrame(rows, "session string, sequence long"), most=3, sessions=2)
+    assert sorted(map(tuple, out.collect())) == [("one", 1, 2, False, 1), ("two", 5, 5, True, 3)]
+
+
+@pytest.mark.parametrize(("path", "group"), [("src/a.ts", "Src"), ("src/orderBook/a.ts", "Order Book"), ("web/lib/user_admin/a.ts", "Web / user admin"), ("a.ts", "File Kind"), ("//x/app/a.ts", "X")])
+def test_view_groups(spark, path, group):
+    assert one(spark, path, lambda c: views.view_group(c, F.lit("fileKind"))) == group

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from threadloom.functions import text as X
 from threadloom.functions.identity import stable_id
-from threadloom.operators import documents, flows, graph, inventory, views
+from threadloom.operators import documents, evidence, flows, graph, inventory, views
 from threadloom.sources import protocols
 from threadloom.sources import tables as T
 
@@ -180,3 +180,17 @@ def test_snapshots_show_a_suffix_of_the_latest_sessions(spark):
 @pytest.mark.parametrize(("path", "group"), [("src/a.ts", "Src"), ("src/orderBook/a.ts", "Order Book"), ("web/lib/user_admin/a.ts", "Web / user admin"), ("a.ts", "File Kind"), ("//x/app/a.ts", "X")])
 def test_view_groups(spark, path, group):
     assert one(spark, path, lambda c: views.view_group(c, F.lit("fileKind"))) == group
+
+
+def test_previews_keep_no_sensitive_names(spark):
+    rows = [([("id", "long"), ("password", "string")],), ([("a\nb", "long")],), ([("f", "t")] * 33,), ([],)]
+    df = spark.createDataFrame(rows, "fields array<struct<name: string, type: string>>")
+    out = [r[0] for r in df.select(evidence.sanitized_fields(F.col("fields"))).collect()]
+    assert [f["name"] for f in out[0]] == ["id", "[sensitive-field]"]
+    assert out[1] is None and out[2] is None and out[3] == []
+
+
+def test_dependencies_of_what_cannot_be_read(spark):
+    assert one(spark, "{", evidence.package_dependencies) == []
+    assert one(spark, '{"peerDependencies": {"B": 1}, "dependencies": {"b": {"v": 2}, "A": "x"}}', evidence.package_dependencies) == ["a", "b"]
+    assert one(spark, "# x\n\nFlask==2\r\n -e .\nflask", evidence.requirement_dependencies) == ["flask"]

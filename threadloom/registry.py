@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from threadloom.catalog import QUERIES, SQL
-from threadloom.operators import documents, flows, graph, inventory, overview, project, runtime, views
+from threadloom.operators import documents, evidence, flows, graph, inventory, overview, project, runtime, views
 from threadloom.sources import protocols
 from threadloom.streaming import spans
 
-__all__ = ["QUERIES", "SQL", "documents", "flows", "graph", "inventory", "overview", "project", "protocols", "runtime", "spans", "views"]
+__all__ = ["QUERIES", "SQL", "documents", "evidence", "flows", "graph", "inventory", "overview", "project", "protocols", "runtime", "spans", "views"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from threadloom.functions import text as X
 from threadloom.functions.identity import stable_id
-from threadloom.operators import documents, evidence, flows, graph, inventory, views
+from threadloom.operators import documents, evidence, flows, graph, inventory, navigation, overview, views
 from threadloom.sources import protocols
 from threadloom.sources import tables as T
 
@@ -194,3 +194,69 @@ def test_dependencies_of_what_cannot_be_read(spark):
     assert one(spark, "{", evidence.package_dependencies) == []
     assert one(spark, '{"peerDependencies": {"B": 1}, "dependencies": {"b": {"v": 2}, "A": "x"}}', evidence.package_dependencies) == ["a", "b"]
     assert one(spark, "# x\n\nFlask==2\r\n -e .\nflask", evidence.requirement_dependencies) == ["flask"]
+
+
+def test_stages_and_lanes(spark):
+    rows = [("Runtime Span", "x", "a.rs", None), ("class", "x", "web\\Admin\\a.rs", None), ("class", "x", "server/a.tsx", None), ("class", "DELETE /x", None, None), ("SDK", "x", "a", "nonsense"), ("SDK", "x", "a", "Data-base")]
+    df = spark.createDataFrame(rows, "kind string, label string, path string, layer string")
+    c = F.col
+    assert [r[0] for r in df.select(navigation.view_stage(c("kind"), c("label"), c("path"), c("layer"))).collect()] == ["trigger", "trigger", "service", "api", "external", "data"]
+    assert [r[0] for r in df.select(navigation.lane(c("kind"), c("layer"))).collect()] == ["runtime", "domain", "domain", "domain", "external", "external"]
+
+
+def test_key_facts_rank_and_keep_what_is_empty(spark):
+    df = spark.createDataFrame([({"note": "n", "HTTPStatus": "1", "status_code": "", "url": "u", "b": "2", "a": None},), (None,)], "m map<string,string>")
+    first, rest = navigation.presented(F.col("m"))
+    got = df.select(first.alias("f"), rest.alias("r")).collect()
+    assert [(e["label"], e["value"]) for e in got[0]["f"]] == [("URL", "u"), ("Status code", "(empty)"), ("Note", "n")]
+    assert [(e["label"], e["value"]) for e in got[0]["r"]] == [("HTTP status", "1"), ("A", "null"), ("B", "2")]
+    assert got[1]["f"] is None and got[1]["r"] is None
+
+
+def test_handlers_of_two_owners_are_none(spark):
+    o = spark.createDataFrame([("a", "GET", "/x", "s"), ("b", "GET", "/x", "s"), ("c", "GET", "/y", "s"), ("d", "GET", "/y", "s")], "id string, method string, route_path string, service string")
+    h = spark.createDataFrame([("f", "a"), ("g", "b"), ("h", "c"), ("h", "d")], "owner string, target string")
+    assert [(r["route_path"], r["owner"], r["operation_id"]) for r in navigation.unique_handlers(o, h).collect()] == [("/y", "h", "c")]
+
+
+def test_changes_show_their_ancestry_and_a_marker_each(spark):
+    n = spark.createDataFrame([(i, "class", i, p) for i, p in [("a", "x/1"), ("b", "x/2"), ("c", "x/2"), ("d", "x/3")]], "id string, kind string, label string, file_path string")
+    e = spark.createDataFrame([("1", "a", "b", "calls"), ("2", "b", "a", "calls"), ("3", "b", "d", "calls")], "id string, source string, target string, kind string")
+    c = spark.createDataFrame([("x/2", "modify"), ("gone/old", "delete")], "file_path string, change string")
+    nodes, edges = navigation.change_projection(n, e, c)
+    assert sorted((r["id"], r["change"]) for r in nodes.collect() if r["kind"] == "class") == [("a", None), ("b", "modify"), ("c", "modify")]
+    assert sorted(r["label"] for r in nodes.collect() if r["kind"] != "class") == ["Deleted old", "Modified 2"]
+    assert sorted(r["id"] for r in edges.collect()) == ["1", "2", "git-change:x/2:b", "git-change:x/2:c"]
+    nodes, edges = navigation.change_projection(n, e, c, focus="c")
+    assert sorted(r["id"] for r in nodes.where("kind = 'class'").collect()) == ["c"]
+    kinds = [("?", " ", False, "insert"), ("A", " ", True, "conflict"), ("M", "D", False, "delete"), ("M", " ", False, "modify")]
+    df = spark.createDataFrame(kinds, "i string, t string, c boolean, want string")
+    assert df.where(navigation.change_kind(F.col("i"), F.col("t"), F.col("c")) != F.col("want")).isEmpty()
+
+
+def test_the_detail_lies_around_the_overview(spark):
+    n, e = T.nodes(spark, SMALL), T.edges(spark, SMALL)
+    roots = sorted(r["id"] for r in overview.overview(n, e).collect())[:50]
+    found = {r["id"] for r in navigation.overview_detail(n, e).collect()}
+    assert set(roots) <= found and len(found) == 500
+    near, hops = set(roots), [(r["source"], r["target"]) for r in e.collect()]
+    for _ in range(4):
+        near |= {b for a, b in hops if a in near} | {a for a, b in hops if b in near}
+    assert found <= near
+
+
+def test_run_profiles_of_a_root(spark):
+    scripts = ", ".join(f'"s{i:02}": "x"' for i in range(40))
+    rows = [("r", "package.json", '{"scripts": {"preview": "x", "dev": "y", ' + scripts + "}}"), ("r", "bun.lockb", ""), ("r", "a/package.json", "[1"), ("r", "node_modules/go.mod", ""), ("r", "z/build.gradle.kts", ""), ("r", "1/2/3/4/5/6/7/8/go.mod", ""), ("q", "gradlew", ""), ("q", "build.gradle", None)]
+    rows += [("q", f"m/{i:03}/go.mod", "") for i in range(150)]
+    got = navigation.run_profiles(spark.createDataFrame(rows, "root string, path string, content string")).collect()
+    r = [(x["source"], x["label"], x["cwd"]) for x in got if x["root"] == "r"]
+    assert ("package.json#dev", "bun run dev", "") in r and ("package.json#preview", "bun run preview", "") in r and ("package.json#s27", "bun run s27", "") in r
+    assert len(r) == 31 and ("z/build.gradle.kts", "Gradle application", "z") in r
+    q = [x for x in got if x["root"] == "q"]
+    assert len(q) == 100 and {x["executable"] for x in q} == {"./gradlew", "go"}
+
+
+def test_truncation_names_the_bounds(spark):
+    df = spark.createDataFrame([(1, True, False), (2, None, None)], "k int, a boolean, b boolean")
+    assert [r[0] for r in df.orderBy("k").select(navigation.truncation({"x": F.col("a"), "y": F.col("b")})).collect()] == [["x"], []]

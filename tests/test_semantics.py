@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from threadloom.functions.identity import stable_id
 from threadloom.operators import documents, evidence, flows, graph, inventory, navigation, overview, views
 from threadloom.sources import protocols
 from threadloom.sources import tables as T
+from threadloom.streaming import spans
 
 
 def one(spark, value, f):
@@ -260,3 +263,27 @@ def test_run_profiles_of_a_root(spark):
 def test_truncation_names_the_bounds(spark):
     df = spark.createDataFrame([(1, True, False), (2, None, None)], "k int, a boolean, b boolean")
     assert [r[0] for r in df.orderBy("k").select(navigation.truncation({"x": F.col("a"), "y": F.col("b")})).collect()] == [["x"], []]
+
+
+def test_a_batch_that_comes_twice_is_kept_once(spark, tmp_path):
+    deliver = spans.delivered_to(str(tmp_path))
+    first, second = (spark.createDataFrame([(n, "x") for n in ns], "sequence long, kind string") for ns in ((2, 1, 3), (5, 4)))
+    deliver(first, 0), deliver(second, 1), deliver(first, 0)
+    assert sorted(r["sequence"] for r in spark.read.parquet(f"{tmp_path}/last").collect()) == [1, 2, 3, 4, 5]
+    assert [r["sequence"] for r in spark.read.parquet(f"{tmp_path}/last/batch=1").coalesce(1).collect()] == [4, 5]
+
+
+@pytest.mark.parametrize(
+    ("change", "reason"),
+    [
+        ({}, None), ({"extra": 1}, "malformed"), ({"kind": "nap"}, "malformed"), ({"stepId": None}, "malformed"), ({"nonce": "m"}, "identity"), ({"parentStepId": "s"}, "steps"), ({"workflowId": "a b"}, "steps"), ({"sequence": 2001}, "sequence"),
+        ({"source": {"relativePath": ".env", "line": 1}}, "source"), ({"source": {"relativePath": "/a", "line": 1}}, "source"), ({"source": {"relativePath": "a", "line": 3, "lineEnd": 2}}, "source"), ({"source": {"relativePath": "a", "line": 3, "odd": 2}}, "malformed"),
+        ({"kind": "branch"}, "branch"), ({"kind": "branch", "branchOutcome": "loop"}, None), ({"kind": "agent"}, "semantics"), ({"kind": "agent", "operation": "a\nb"}, "semantics"), ({"kind": "agent", "operation": "plan"}, None),
+        ({"dataPreview": {"kind": "record", "fields": [{"name": "x", "valueType": "int", "nullable": True}], "truncated": False}}, None), ({"dataPreview": {"kind": "record", "fields": [], "itemCount": 2_000_000_000, "truncated": False}}, "preview"),
+    ],
+)
+def test_debug_lines(spark, change, reason):
+    body = {"nonce": "n", "debugSessionId": "d", "workflowId": "w", "sequence": 1, "controlEpoch": 0, "stepId": "s", "kind": "line", "flowStage": "api", "source": {"relativePath": "a/b.rs", "line": 1}, "safePointState": "paused"} | change
+    lines = spark.createDataFrame([("@d " + json.dumps(body),), ("plain",), (None,)], "value string")
+    assert [r["reason"] for r in protocols.debug_lines(lines, "@d ", "n", "d").collect()] == [reason]
+    assert [r["reason"] for r in protocols.debug_lines(spark.createDataFrame([("@d {",)], "value string"), "@d ", "n", "d").collect()] == ["malformed"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.catalog import query
 from threadloom.functions import text as X
+from threadloom.operators.evidence import sanitized_fields
 from threadloom.operators.runtime import span_category
 from threadloom.sources import tables as T
 
@@ -15,6 +16,16 @@ ATTRIBUTES = f"array<struct<key:string,value:{VALUE}>>"
 SPAN = f"struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:int,startTimeUnixNano:string,endTimeUnixNano:string,attributes:{ATTRIBUTES},status:struct<code:int>>"
 EXPORT = f"struct<resourceSpans:array<struct<resource:struct<attributes:{ATTRIBUTES}>,scopeSpans:array<struct<spans:array<{SPAN}>>>>>>"
 TRACE_FIELDS = ("event", "trace", "span", "phase")
+# Fields of a debug line, its kinds, stages, states and outcomes, kinds that need an operation, bounds.
+DEBUG_SOURCE = "relativePath:string,line:long,lineEnd:long,nodeId:string"
+DEBUG_PREVIEW = "kind:string,typeName:string,fields:array<struct<name:string,valueType:string,nullable:boolean>>,itemCount:long,rowCount:long,nullCount:long,truncated:boolean"
+DEBUG_TEXTS = ("nonce", "debugSessionId", "workflowId", "stepId", "parentStepId", "kind", "flowStage", "safePointState", "branchOutcome", "operation", "resource")
+DEBUG_KINDS = ("request", "method", "line", "branch", "database", "agent", "external", "response")
+DEBUG_STAGES = ("trigger", "api", "backend", "service", "data", "external", "response")
+DEBUG_STATES = ("running", "paused", "workflowCompleted", "workflowFailed")
+DEBUG_OUTCOMES = ("then", "else", "case", "loop", "shortCircuit", "unknown")
+WITH_OPERATION = ("method", "database", "agent", "external")
+DEBUG_EVENTS, DEBUG_LINE, DEBUG_COUNT = 2_000, 10_000_000, 1_000_000_000
 DAY_NANOS = 86_400_000_000_000
 
 
@@ -53,6 +64,43 @@ def trace_lines(lines: DataFrame, prefix: str, column: str = "value", most_bytes
     return known.select(F.from_json("body", "event long, trace string, span string, phase string").alias("j")).select("j.*").where("event is not null and trace is not null")
 
 
+def only_fields(body, names):
+    """Whether a JSON object has no other fields than these; null if it is none."""
+    return F.forall(F.json_object_keys(body), lambda k: k.isin(*names))
+
+
+def debug_lines(lines: DataFrame, prefix: str, nonce: str, session: str, column: str = "value") -> DataFrame:
+    """Safe points of a debugged run: lines with the prefix, each with `reason` (null: accepted; else malformed, identity, steps, sequence, source,
+    branch, semantics or preview) and its fields. Previews are of shapes only; sensitive names in them are masked. Other lines are left out."""
+    schema = f"{', '.join(f'{t} string' for t in DEBUG_TEXTS)}, sequence long, controlEpoch long, source struct<{DEBUG_SOURCE}>, dataPreview struct<{DEBUG_PREVIEW}>"
+    own = lines.where(F.col(column).startswith(prefix)).select(F.substr(column, F.lit(len(prefix) + 1)).alias("body"))
+    part = lambda name, fields: only_fields(F.get_json_object("body", f"$.{name}"), [f.split(":")[0] for f in fields])
+    shape = only_fields(F.col("body"), (*DEBUG_TEXTS, "sequence", "controlEpoch", "source", "dataPreview"))
+    shape &= part("source", DEBUG_SOURCE.split(",")) & F.coalesce(part("dataPreview", ("kind", "typeName", "fields", "itemCount", "rowCount", "nullCount", "truncated")), F.lit(True))
+    d = own.select("body", shape.alias("shape"), F.from_json("body", schema).alias("j")).select("shape", "j.*")
+    c, within = F.col, lambda v, values: F.coalesce(v.isin(*values), F.lit(False))
+    whole = X.any_of(*(c(n).isNull() for n in ("nonce", "debugSessionId", "workflowId", "stepId", "sequence", "controlEpoch", "source.relativePath", "source.line")))
+    whole = c("shape") & ~whole & within(c("kind"), DEBUG_KINDS) & within(c("flowStage"), DEBUG_STAGES) & within(c("safePointState"), DEBUG_STATES) & (c("branchOutcome").isNull() | within(c("branchOutcome"), DEBUG_OUTCOMES))
+    identity = lambda v: v.rlike(r"\A[A-Za-z0-9_.:-]{1,128}\z")
+    plain = lambda v: v.isNull() | v.rlike(r"\A[A-Za-z0-9 _.:/-]{1,128}\z")
+    none = lambda v, test: F.coalesce(test(v), F.lit(True))
+    steps = identity(c("workflowId")) & identity(c("stepId")) & none(c("parentStepId"), lambda v: identity(v) & (v != c("stepId")))
+    path, line, end = c("source.relativePath"), c("source.line"), c("source.lineEnd")
+    place = path.rlike(r"\A[^\p{Cntrl}]{1,1024}\z") & ~path.rlike(r"^/|^\./|^\.$|(^|/)\.\.(/|$)") & ~X.denied_path(path) & line.between(1, DEBUG_LINE)
+    place &= none(end, lambda v: v.between(line, DEBUG_LINE)) & none(c("source.nodeId"), identity)
+    said = plain(c("operation")) & plain(c("resource")) & (~c("kind").isin(*WITH_OPERATION) | c("operation").isNotNull())
+    fields = sanitized_fields(F.transform("dataPreview.fields", lambda f: F.struct(f["name"].alias("name"), f["valueType"].alias("type"))))
+    counts = [none(c(f"dataPreview.{n}"), lambda v: v.between(0, DEBUG_COUNT)) for n in ("itemCount", "rowCount", "nullCount")]
+    shown = c("dataPreview").isNull() | (fields.isNotNull() & counts[0] & counts[1] & counts[2] & plain(c("dataPreview.typeName")))
+    tests = {
+        "malformed": whole, "identity": (c("nonce") == nonce) & (c("debugSessionId") == session), "steps": steps, "sequence": c("sequence").between(1, DEBUG_EVENTS),
+        "source": place, "branch": (c("kind") == "branch") == c("branchOutcome").isNotNull(), "semantics": said, "preview": shown,
+    }
+    reason = F.coalesce(*(F.when(~F.coalesce(test, F.lit(False)), name) for name, test in tests.items()))
+    kept = ("workflowId", "sequence", "controlEpoch", "stepId", "parentStepId", "kind", "flowStage", "source", "safePointState", "branchOutcome", "operation", "resource")
+    return d.select(reason.alias("reason"), *kept, fields.alias("fields"))
+
+
 def openapi_operations(files: DataFrame) -> DataFrame:
     """(relative_path, title, method, route_path, operation_id, api_group) of OpenAPI documents in JSON."""
     spec = files.where(F.col("relative_path").endswith(".json")).select("relative_path", F.from_json("text", "openapi string, swagger string, info struct<title:string>, paths map<string,map<string,struct<operationId:string,tags:array<string>>>>").alias("s"))
@@ -116,3 +164,24 @@ def s14(spark, sf_dir):
     body = F.to_json(F.struct(F.col("event_id").alias("event"), F.col("trace_id").alias("trace"), F.col("span_id").alias("span"), "phase", extra.alias("extra")))
     line = F.when(F.expr("event_id % 7 = 0"), body).otherwise(F.concat(F.lit("@trace "), body))
     return trace_lines(e.select(line.alias("value")), "@trace ")
+
+
+@query(
+    "s15_debug_lines",
+    f"""WITH {T.STEPS} SELECT workflow_id, sequence + 1 AS step, CASE WHEN workflow_id % 13 = 0 THEN 'identity' WHEN workflow_id % 17 = 0 THEN 'source' WHEN workflow_id % 19 = 0 THEN 'branch'
+    WHEN workflow_id % 3 = 0 AND kind = 'method' THEN 'semantics' WHEN workflow_id % 23 = 0 THEN 'preview' END AS reason, CASE WHEN workflow_id % 23 <> 0 THEN CASE WHEN size % 4 = 0 THEN '[sensitive-field]' ELSE 'label' END END AS field FROM workflow_steps WHERE workflow_id % 11 <> 0""",
+)
+def s15(spark, sf_dir):
+    """Workflow steps as debug lines among others, and what is said of each."""
+    w, k = T.workflow_steps(spark, sf_dir), lambda n: F.expr(f"workflow_id % {n} = 0")
+    field = F.struct(F.when(F.expr("size % 4 = 0"), "password").otherwise("label").alias("name"), F.when(k(23), "a<b>").otherwise("text").alias("valueType"), F.lit(True).alias("nullable"))
+    preview = F.struct(F.lit("record").alias("kind"), F.array(field).alias("fields"), F.col("size").alias("itemCount"), F.lit(False).alias("truncated"))
+    source = F.struct(F.when(k(17), "src/../x").otherwise("src/x.ts").alias("relativePath"), F.lit(3).alias("line"))
+    step = F.concat(F.lit("step:"), F.col("sequence").cast("string"))
+    body = F.to_json(F.struct(
+        F.when(k(13), "other").otherwise("n1").alias("nonce"), F.lit("d1").alias("debugSessionId"), F.col("workflow_id").cast("string").alias("workflowId"), (F.col("sequence") + 1).alias("sequence"), F.lit(0).alias("controlEpoch"),
+        step.alias("stepId"), "kind", F.lit("service").alias("flowStage"), source.alias("source"), F.lit("running").alias("safePointState"), F.when(k(19), "then").alias("branchOutcome"), F.when(~k(3), "run").alias("operation"), preview.alias("dataPreview"),
+    ))
+    line = F.concat(F.when(k(11), "").otherwise("@debug "), body)
+    found = debug_lines(w.select(line.alias("value")), "@debug ", "n1", "d1")
+    return found.select(F.col("workflowId").cast("long").alias("workflow_id"), F.col("sequence").alias("step"), "reason", F.get("fields", F.lit(0))["name"].alias("field"))

@@ -94,3 +94,20 @@ def t10(spark, sf_dir):
 
     return drained(event_stream(spark, sf_dir), "latest", "append", merge)
 
+
+
+def delivered_to(sink: str):
+    """A batch writer that may be called again: a batch that comes twice replaces itself, so what is delivered at least once is kept once. Rows
+    of a batch are in order of their sequence over its files; batches follow each other."""
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        batch.orderBy("sequence").write.mode("overwrite").parquet(f"{sink}/last/batch={number}")
+
+    return deliver
+
+
+@query("t12_stream_delivery", f"{EV} SELECT event_id AS sequence, kind FROM runtime_events WHERE phase <> 'event'")
+def t12(spark, sf_dir):
+    """Outbox rows delivered in order, each once."""
+    rows = event_stream(spark, sf_dir).where("phase <> 'event'").select(F.col("event_id").alias("sequence"), "kind")
+    return drained(rows, "delivery", each=delivered_to).select("sequence", "kind")

@@ -287,3 +287,11 @@ def test_debug_lines(spark, change, reason):
     lines = spark.createDataFrame([("@d " + json.dumps(body),), ("plain",), (None,)], "value string")
     assert [r["reason"] for r in protocols.debug_lines(lines, "@d ", "n", "d").collect()] == [reason]
     assert [r["reason"] for r in protocols.debug_lines(spark.createDataFrame([("@d {",)], "value string"), "@d ", "n", "d").collect()] == ["malformed"]
+
+
+def test_handlers_by_operation_id(spark):
+    asked = [("1", "GET", "/api/v1/items", "s", "list_items_get"), ("2", "GET", "/api/both", "s", "both_get"), ("3", "GET", "/items", "s", "list_items_get"), ("4", "GET", "/api/items", "t", "list_items_get"), ("5", "GET", "/api/items", "s", "list_itemsget"), ("6", "GET", "", "s", "list_items_get")]
+    e = spark.createDataFrame(asked, "id string, method string, route_path string, service string, declared_id string")
+    o = spark.createDataFrame([("a", "GET", "/items", "s"), ("b", "GET", "/both", "s"), ("c", "GET", "/both", "s"), ("d", "GET", "/", "s")], "id string, method string, route_path string, service string")
+    h = spark.createDataFrame([("f", "list_items", "a"), ("g", "both", "b"), ("h", "both", "c"), ("i", "list_items", "d")], "owner string, label string, target string")
+    assert [tuple(r) for r in navigation.handlers_by_operation_id(e, o, h).collect()] == [("1", "f", "a")]

@@ -129,6 +129,18 @@ def unique_handlers(operations: DataFrame, handles: DataFrame) -> DataFrame:
     return found.where(F.col("owner") == F.col("last_")).drop("last_")
 
 
+def handlers_by_operation_id(endpoints: DataFrame, operations: DataFrame, handles: DataFrame) -> DataFrame:
+    """(id, owner, operation_id): declared endpoints (id, method, route_path, service, declared_id) to the one owner whose label begins their
+    declared id and whose operation (id, method, route_path, service) ends their route, in the same service. Every end of a route is a row,
+    so that the join is on equality; `handles` has owner, label and target."""
+    ends = F.transform(F.sequence(F.lit(2), F.char_length("route_path")), lambda i: F.substr("route_path", i))
+    asked = endpoints.where(F.char_length("route_path") > 1).select("id", "method", "service", "declared_id", F.explode(F.filter(ends, lambda e: e != "/")).alias("route_path"))
+    known = operations.withColumnRenamed("id", "target").join(handles, "target")
+    found = asked.join(known, ["method", "service", "route_path"]).where(F.startswith("declared_id", F.concat("label", F.lit("_"))))
+    alone = found.groupBy("id").agg(F.min("owner").alias("owner"), F.max("owner").alias("last_"), F.min("target").alias("operation_id"))
+    return alone.where(F.col("owner") == F.col("last_")).drop("last_")
+
+
 def change_kind(index: Column, tree: Column, conflicted: Column) -> Column:
     """What a file's status says: conflict, insert, delete or modify."""
     return F.when(conflicted, "conflict").when((index == "?") | (tree == "?") | (index == "A"), "insert").when((index == "D") | (tree == "D"), "delete").otherwise("modify")

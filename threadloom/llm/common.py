@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.plans.stages import drop_written, shared_dir, written
+from threadloom.plans.stages import drop_path, drop_written, new_path, shared_dir, written
 
-__all__ = ["batches", "crc_bucket", "drop_written", "join_ids", "settled", "shared_dir", "table", "whole_texts", "written"]
+__all__ = ["Remembered", "batches", "crc_bucket", "drop_path", "drop_written", "join_ids", "new_path", "settled", "shared_dir", "table", "whole_texts", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,3 +62,22 @@ def batches(table_iter, rows: int = 512, bytes_: int = 8 << 20, column: str = "t
             stop = min(max(stop, start + 1), start + rows, n)
             yield batch.slice(start, stop - start)
             start = stop
+
+
+class Remembered(dict):
+    """What `make` gives for a string, kept for the strings met lately: `most` of them, and those before them as long as they are asked for.
+    Long ones are rare, and made anew."""
+
+    def __init__(self, make, most: int, longest: int = 64):
+        super().__init__()
+        self.make, self.most, self.longest, self.older = make, most, longest, {}
+
+    def __missing__(self, key: str):
+        if len(key) > self.longest:
+            return self.make(key)
+        out = self.older[key] if key in self.older else self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = out
+        return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, neighbours, packing, pii, simhash, suffix_dedup, toxicity, url_filter
+from . import chat, crossing, decontaminate, language, negatives, neighbours, packing, pii, simhash, suffix_dedup, tokens, toxicity, url_filter
 
 QUERIES = {
     "op1_vantage_point_neighbours": neighbours.op1_vantage_point_neighbours,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_boosted_candidates_pii": pii.op8_boosted_candidates_pii,
     "op9_simhash_components": simhash.op9_simhash_components,
     "op10_temporal_url_filter": url_filter.op10_temporal_url_filter,
+    "op11_token_lists": tokens.op11_token_lists,
+    "op12_angular_hard_negatives": negatives.op12_angular_hard_negatives,
+    "op13_shared_cut_alignment": crossing.op13_shared_cut_alignment,
 }
 SQL = {"op4_reply_tree_chat": chat.SQL, "op10_temporal_url_filter": url_filter.SQL}

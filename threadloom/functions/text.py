@@ -59,6 +59,20 @@ def ascii_fold(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def ascii_upper(c: Column) -> Column:
+    return F.translate(c, LOWER, UPPER)
+
+
+def fold(text: str) -> str:
+    """ascii_fold() of a text at hand."""
+    return text.translate(str.maketrans(UPPER, LOWER))
+
+
+def quoted(text: str) -> str:
+    """A regular expression for a text as it stands, whatever marks it holds."""
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def contains_fold(c: Column, text: str) -> Column:
     return F.contains(ascii_fold(c), ascii_fold(F.lit(text)))
 

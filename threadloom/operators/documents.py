@@ -37,7 +37,9 @@ def precedes(found: DataFrame) -> DataFrame:
 
 def bm25(files: DataFrame, term: str) -> DataFrame:
     """(doc_id, relative_path, tf, score): documents that hold a literal, by BM25 over lengths in characters."""
-    sized = files.select("doc_id", "relative_path", F.char_length("text").alias("size"), F.expr(f"cast((char_length(text) - char_length(replace(translate(text, '{X.UPPER}', '{X.LOWER}'), '{term.lower()}', ''))) / {len(term)} as bigint)").alias("tf"))
+    rest = F.replace(X.ascii_fold(F.col("text")), F.lit(X.fold(term)), F.lit(""))
+    tf = ((F.char_length("text") - F.char_length(rest)) / len(term)).cast("long")
+    sized = files.select("doc_id", "relative_path", F.char_length("text").alias("size"), tf.alias("tf"))
     corpus = sized.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), F.count_if(F.col("tf") > 0).alias("df"))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean"))
@@ -48,7 +50,7 @@ def line_matches(files: DataFrame, term: str, most: int = 50) -> DataFrame:
     """(doc_id, line_no, start_column, end_column, preview, truncated): literal hits without regard to ASCII case, with 1-based UTF-16
     columns, the first `most` of a file and whether it has more."""
     folded = X.ascii_fold(F.col("line"))
-    pieces = F.split(folded, F.lit("\\Q" + term.lower() + "\\E"), -1)
+    pieces = F.split(folded, F.lit(X.quoted(X.fold(term))), -1)
     per = lines(files, "relative_path").where(X.contains_fold(F.col("line"), term)).select("doc_id", "relative_path", "line_no", "line", F.posexplode(pieces).alias("k", "piece"))
     upto = Window.partitionBy("doc_id", "line_no").orderBy("k")
     at = F.sum(F.char_length("piece")).over(upto) + F.col("k") * len(term)  # characters before the hit
@@ -163,21 +165,6 @@ def x12(spark, sf_dir):
     return precedes(segments(T.files(spark, sf_dir)))
 
 
-@query("h1_content_candidates", f"{FILES} SELECT doc_id, relative_path FROM files WHERE contains({FOLD.format('text')}, 'license')")
-def h1(spark, sf_dir):
-    return T.files(spark, sf_dir).where(X.contains_fold(F.col("text"), "LICENSE")).select("doc_id", "relative_path")
-
-
-BM = f"""{FILES}, sized AS (SELECT doc_id, relative_path, length(text) AS size, (length(text) - length(replace({FOLD.format("text")}, 'license', ''))) // 7 AS tf FROM files),
-  corpus AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (tf > 0) AS df FROM sized),
-  scored AS (SELECT doc_id, relative_path, tf, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * size / mean)) AS score FROM sized, corpus WHERE tf > 0)"""
-
-
-@query("l8_bm25_rank", f"{BM} SELECT doc_id, tf, round(score, 6) AS score FROM scored ORDER BY score DESC, relative_path LIMIT 100")
-def l8(spark, sf_dir):
-    return bm25(T.files(spark, sf_dir), "license").withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "relative_path").limit(100).select("doc_id", "tf", "score")
-
-
 MATCHES = rf"""{FILES}, ln AS (SELECT doc_id, relative_path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM files),
   pieces AS (SELECT *, string_split({FOLD.format("line")}, 'token') AS p FROM ln WHERE contains({FOLD.format("line")}, 'token')),
   hits AS (SELECT doc_id, relative_path, line_no, line, unnest(list_transform(range(1, len(p)), lambda i: CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + 5 * (i - 1) AS BIGINT))) AS pos FROM pieces),
@@ -255,7 +242,7 @@ SECRETS = ("token", "token = ", "license", "idiot", "copyright")
 def mask_patterns(text: Column, patterns: tuple[str, ...]) -> Column:
     """The text with each leftmost-longest occurrence of a pattern masked."""
     longest_first = sorted(set(patterns), key=lambda p: (-len(p), p))
-    return F.regexp_replace(text, "|".join(f"\\Q{p}\\E" for p in longest_first), "[REDACTED]")
+    return F.regexp_replace(text, "|".join(map(X.quoted, longest_first)), "[REDACTED]")
 
 
 @query("p20_multi_redaction", f"SELECT doc_id, md5(regexp_replace(text, '{'|'.join(sorted(SECRETS, key=lambda p: (-len(p), p)))}', '[REDACTED]', 'g')) AS digest, regexp_matches(text, '{'|'.join(SECRETS)}') AS masked FROM documents WHERE text IS NOT NULL")

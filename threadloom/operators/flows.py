@@ -1,4 +1,4 @@
-"""Resolution of calls and imports, call collapse, execution flows, call trees, strongly connected components, communities."""
+"""Resolution of calls and imports, call collapse, call trees, strongly connected components, communities."""
 
 from __future__ import annotations
 
@@ -42,30 +42,6 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return hits.groupBy("source", "specifier").agg(F.count("*").alias("n"), F.min("relative_path").alias("target")).where("n = 1").drop("n")
 
 
-def execution_flow(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 4, limit: int = 120, root_page: int = 100, links: int = 40) -> DataFrame:
-    """(id, parent, depth, visit): first-in-first-out expansion of one root, level by level. A level's links are ordered by their parent's visit, then
-    by family (outgoing, then reverse requests) and id; a parent shows its first `links`; the first parent of a node wins; the node
-    cap cuts within a level. Each level is bounded by limit * links rows, whatever the size of the graph."""
-    spark = nodes.sparkSession
-    limit, depth = max(2, min(limit, 500)), min(depth, 4)
-    back = edges.where("kind = 'requests'").select("id", F.col("target").alias("source"), F.col("source").alias("target"), F.lit(1).alias("family"))
-    step = edges.select("id", "source", "target", F.lit(0).alias("family")).unionByName(back)
-    visited = {r["id"]: (None, 0, k) for k, r in enumerate(nodes.where(F.col("id") == root).select("id").collect())}
-    frontier = list(visited)
-    for d in range(1, depth + 1):
-        if not frontier or len(visited) >= limit:
-            break
-        level = F.broadcast(spark.createDataFrame([(n, visited[n][2]) for n in frontier], "source string, visit int"))
-        nth = Window.partitionBy("source").orderBy("family", "id")
-        shown = step.join(level, "source").withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= (root_page if d == 1 else links))
-        frontier = []
-        for r in shown.orderBy("visit", "family", "id").collect():  # at most limit * links rows
-            if len(visited) < limit and r["target"] not in visited:
-                visited[r["target"]] = (r["source"], d, len(visited))
-                frontier.append(r["target"])
-    return spark.createDataFrame([(k, *v) for k, v in visited.items()], "id string, parent string, depth int, visit int")
-
-
 def call_tree(edges: DataFrame, root: DataFrame, depth: int, children: int) -> DataFrame:
     """(path, id, depth, cycle): every path from the root, depth first by its spelling; a node that its path holds already ends it."""
     nth = Window.partitionBy("source").orderBy("target")
@@ -192,11 +168,6 @@ def j13(spark, sf_dir):
     return resolve_imports(imports, files)
 
 
-@query("g3_execution_flow")
-def g3(spark, sf_dir):
-    return execution_flow(T.nodes(spark, sf_dir), T.edges(spark, sf_dir), "class:7", depth=4, limit=300)
-
-
 @query(
     "g18_call_tree",
     f"""{GRAPH}, c AS (SELECT source, target FROM (SELECT DISTINCT source, target FROM edges) QUALIFY row_number() OVER (PARTITION BY source ORDER BY target) <= 8),

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from threadloom.catalog import query
 from threadloom.functions import text as X
-from threadloom.plans.stages import written
 from threadloom.sources import tables as T
 
 KEY = ["service", "method", "route_path"]
@@ -36,25 +35,23 @@ def with_service(operations: DataFrame) -> DataFrame:
     return operations.join(producer_services(operations), ["method", "route_path"], "left").withColumn("service", adopted)
 
 
-def routes(operations: DataFrame) -> DataFrame:
-    """A row for each (source_service, method, route_path, role): the first operation (`c`) and its order (`o`), the first by path (`client`), and
-    how many there are. Partial sums leave little to shuffle, and it is written, so that what is derived from it doesn't read the facts again."""
-    rank = F.when(F.col("framework") == "OpenAPI", 0).when(F.col("framework") == "Utoipa", 1).otherwise(2)
-    order = F.struct(rank.alias("a"), F.when(F.col("role") == "producer", 0).otherwise(1).alias("b"), "file_path", "id")
-    first = F.min_by(F.struct("id", "file_path", "framework", "api_group"), order)
-    grouped = eligible(operations).groupBy("source_service", "method", "route_path", "role")
-    return written(grouped.agg(first.alias("c"), F.min(order).alias("o"), F.min(F.struct("file_path", "id")).alias("client"), F.count("*").alias("n")), "routes")
-
-
 def canonical(operations: DataFrame) -> DataFrame:
-    """One operation for each (service, method, route), with the counts of its group and its first client: a ranked minimum and conditional
-    sums in one aggregation, where a window would move and sort every fact."""
+    """One operation for each (service, method, route), with the counts of its group and its first client, in one pass over the facts.
+
+    First a row for each (source service, method, route, role): its count, its first operation in canonical order and its first by path. Facts are
+    summed before they are shuffled, and what is left of a route are a few rows, however busy it is. A window over those sees which services
+    produce the route; the last aggregate finds its rows where the window has put them."""
+    rank = F.when(F.col("framework") == "OpenAPI", "0").when(F.col("framework") == "Utoipa", "1").otherwise("2")
+    order = F.struct(F.concat(rank, F.when(F.col("role") == "producer", "0").otherwise("1")).alias("rank"), "file_path", "id", "framework", "api_group")
+    per_role = eligible(operations).groupBy("source_service", "method", "route_path", "role").agg(F.min(order).alias("c"), F.min(F.struct("file_path", "id")).alias("client"), F.count("*").alias("n"))
+    makes = F.when(F.col("role") == "producer", F.col("source_service"))
+    route = Window.partitionBy("method", "route_path")
+    adopted = F.when((F.col("role") != "producer") & (F.min(makes).over(route) == F.max(makes).over(route)), F.min(makes).over(route)).otherwise(F.col("source_service"))
     count = lambda role: F.sum(F.when(F.col("role") == role, F.col("n")).otherwise(0))
-    client = F.min(F.when(F.col("role") == "consumer", F.col("client")))
     return (
-        with_service(routes(operations))
+        per_role.withColumn("service", adopted)
         .groupBy(*KEY)
-        .agg(F.min_by("c", "o").alias("c"), count("producer").alias("producers"), count("consumer").alias("consumers"), count("unknown").alias("unknowns"), F.sum("n").alias("occurrences"), client.alias("client"))
+        .agg(F.min("c").alias("c"), count("producer").alias("producers"), count("consumer").alias("consumers"), count("unknown").alias("unknowns"), F.sum("n").alias("occurrences"), F.min(F.when(F.col("role") == "consumer", F.col("client"))).alias("client"))
         .select(*KEY, "c.id", "c.file_path", "c.framework", "c.api_group", "producers", "consumers", "unknowns", "occurrences", F.col("client.id").alias("first_client"))
         .withColumn("role", F.when(F.col("producers") > 0, "producer").when(F.col("consumers") > 0, "consumer").otherwise("unknown"))
     )

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from threadloom.catalog import QUERIES, SQL
-from threadloom.operators import documents, evidence, flows, graph, inventory, navigation, overview, project, runtime, views
+from threadloom.operators import documents, evidence, execution, flows, graph, inventory, navigation, overview, project, runtime, search, views
 from threadloom.sources import protocols
-from threadloom.streaming import spans
+from threadloom.streaming import sessions, spans
 
-__all__ = ["QUERIES", "SQL", "documents", "evidence", "flows", "graph", "inventory", "navigation", "overview", "project", "protocols", "runtime", "spans", "views"]
+__all__ = ["QUERIES", "SQL", "documents", "evidence", "execution", "flows", "graph", "inventory", "navigation", "overview", "project", "protocols", "runtime", "search", "sessions", "spans", "views"]

@@ -16,9 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows over all cores, where it comes in fewer parts than there are cores (one row group is one task): what is computed from them
+    then costs more than dealing them out. Scans of many parts stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of a source tree, with paths that meet every path policy."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     n, i = F.expr("doc_id % 8"), F.col("doc_id").cast("string")
     path = (
         F.when(n == 0, F.concat("source", F.lit("/src/"), "lang", F.lit("/"), i, F.lit(".ts")))
@@ -50,7 +57,7 @@ FILES = """files AS (
 
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as HTTP operation facts: the supplier's nation is the service, part and supplier give the route."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_size", "p_brand")
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")

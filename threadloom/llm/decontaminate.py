@@ -4,7 +4,9 @@ Texts become lower-case words. Every run of SEED words of a test item is a seed,
 holds a seed, the window that an alignment through it could span (with the item's length on either side) is kept, as word numbers of the
 benchmark's own vocabulary, unless it holds too few of the item's words for any alignment to reach the threshold. Windows are aligned
 with the item by Smith-Waterman over words (match 2, mismatch and gap -1), equal ones of a batch once; a score of at least
-THRESHOLD of the item's own marks a copy.
+THRESHOLD of the item's own marks a copy. As such an alignment spans twice the item's length at most, a longer window (seeds all over a long
+text) comes in stretches of STRETCH lengths that overlap by two; and windows are aligned at most CELLS at a time. So memory grows with the
+longest item, not with the longest text.
 
 The benchmark side is broadcast: its words are counted first, and beyond BLOCK_WORDS it is worked off in blocks of
 items, each over all documents. Nothing of the corpus is broadcast or collected; windows are a small share of it.
@@ -31,6 +33,8 @@ from . import common
 #: With a threshold of one half an alignment spans twice the item's length at most, so a slack of one length holds it whole.
 SEED, SLACK, THRESHOLD = 3, 1.0, 0.5
 BLOCK_WORDS = 5_000_000
+#: Item lengths in a stretch of a window; words of all windows that are aligned at once.
+STRETCH, CELLS = 8, 1 << 18
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORDS = re.compile(r"[^\W_]+").findall
 
@@ -94,21 +98,24 @@ class SeedIndex:
         cuts = np.flatnonzero((np.diff(item) != 0) | (np.diff(start) > slack[1:])) + 1
         for part in np.split(np.arange(len(item)), cuts):
             k, s = int(item[part[0]]), int(slack[part[0]])
-            first = max(0, int(start[part[0]]) - s)
-            yield k, first, a[first : int(start[part[-1]]) + len(self.items[k]) + s]  # as long as its seeds' alignments may be
+            n = len(self.items[k])
+            first, stop = max(0, int(start[part[0]]) - s), min(len(a), int(start[part[-1]]) + n + s)  # as long as its seeds' alignments may be
+            wide, step = max(STRETCH * n, n + 2 * s), max(1, max(STRETCH * n, n + 2 * s) - 2 * n)
+            for at in range(first, max(first + 1, stop - 2 * n), step):
+                yield k, at, a[at : min(stop, at + wide)]
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment of each item with its window: scores, and the window places where the alignments end."""
     n, m, w = len(items), max(map(len, items)), max(map(len, windows))
-    a, b = np.full((n, m), -2, dtype=np.int64), np.full((n, w), -3, dtype=np.int64)
+    a, b = np.full((n, m), -2, dtype=np.int32), np.full((n, w), -3, dtype=np.int32)
     for k, (x, y) in enumerate(zip(items, windows, strict=True)):
         a[k, : len(x)], b[k, : len(y)] = x, y
     rise = -GAP * np.arange(w + 1, dtype=np.int32)
     h = np.zeros((n, w + 1), dtype=np.int32)
     best, end = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int64)
     for i in range(m):
-        step = np.where(a[:, i : i + 1] == b, MATCH, MISMATCH)
+        step = np.where(a[:, i : i + 1] == b, np.int32(MATCH), np.int32(MISMATCH))
         new = np.zeros_like(h)
         np.maximum(h[:, :-1] + step, h[:, 1:] + GAP, out=new[:, 1:])
         np.maximum(new, 0, out=new)
@@ -120,6 +127,19 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, end
 
 
+def parted(rows: list[tuple], cells: int) -> Iterator[list[tuple]]:
+    """Runs of rows that take at most so many words side by side, as wide as the widest window (their last field); one row at least."""
+    part, wide = [], 0
+    for r in rows:
+        wide = max(wide, len(r[3]))
+        if part and (len(part) + 1) * wide > cells:
+            yield part
+            part, wide = [], len(r[3])
+        part.append(r)
+    if part:
+        yield part
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): documents that hold a copy of a test item, and its best passage."""
     spark = docs.sparkSession
@@ -154,22 +174,22 @@ def _in_block(spark: SparkSession, docs: DataFrame, items: list[tuple[int, str]]
                     cols["first"].append(first)
                     cols["window"].append(window)
             if cols:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols["i"])), pa.array(cols["item"], pa.int32()), pa.array(cols["first"], pa.int64()), pa.array(cols["window"], pa.list_(pa.int64()))], names=["doc_id", "item", "first", "window"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols["i"])), pa.array(cols["item"], pa.int32()), pa.array(cols["first"], pa.int64()), pa.array(cols["window"], pa.list_(pa.int32()))], names=["doc_id", "item", "first", "window"])
 
-    scanned = common.whole_texts(docs).where("doc_id is not null").mapInArrow(scan, f"doc_id {id_type}, item int, first long, window array<long>")
+    scanned = common.whole_texts(docs).where("doc_id is not null").mapInArrow(scan, f"doc_id {id_type}, item int, first long, window array<int>")
     windows = common.written(scanned, "windows")
+
     def score(it: Iterator) -> Iterator:
         import pyarrow as pa
 
         index = SeedIndex(shared.value)
         for b in it:
             ids, same = b.column("doc_id"), defaultdict(list)
-            for i, (item, first, window) in enumerate(zip(*(b.column(c).to_pylist() for c in ("item", "first", "window")), strict=True)):
-                same[item, np.array(window, dtype=np.int64).tobytes()].append((i, first))
-            rows = [(at, item, index.items[item], np.frombuffer(w, dtype=np.int64)) for (item, w), at in same.items()]
+            for i, (item, first, window) in enumerate(zip(b.column("item").to_pylist(), b.column("first").to_pylist(), b.column("window"), strict=True)):
+                same[item, window.values.to_numpy().tobytes()].append((i, first))
+            rows = [(at, item, index.items[item], np.frombuffer(w, dtype=np.int32)) for (item, w), at in same.items()]
             rows.sort(key=lambda r: (len(r[2]), len(r[3])))
-            for k in range(0, len(rows), 256):
-                part = rows[k : k + 256]
+            for part in parted(rows, CELLS):
                 best, end = align([r[2] for r in part], [r[3] for r in part])
                 good = [j for j, r in enumerate(part) if best[j] >= threshold * MATCH * len(r[2])]
                 if not good:

@@ -10,12 +10,14 @@ The classifier is fitted on a bounded sample: at most SAMPLE texts of each langu
 of their ids, one text an id), of which LANDMARKS are landmarks; each comes to the driver as two bitmaps of 2^BITS bits, whatever
 its length.
 
-A one-versus-rest score says which language is nearest, not whether it is near. So predict() can also give `known`: the share of the
-n-grams of a text's words (tokens with digits and marks aside) that two texts of the sample hold, whatever their language, SPARE forgiven. A text of an
-unlearned language, or of random letters, holds many others. The model's `floor` for it is LEAST_KNOWN, or less where the sample is too
+A one-versus-rest score says which language is nearest, not whether it is near. So predict() can also judge. `near` is what the kernel itself says
+for the language that it speaks for most: that score without its constant, which a text that shares nothing with the sample has alone. The model's
+`least` for it is LEAST_NEAR, or less where a classifier of one half of the sample gives the other half less: half of what all but one in a hundred
+of its texts have. Languages of other letters stay below it. A second guard, for languages that share letters with a learned one: `known`, the share of the n-grams of a text's words (tokens with digits and marks
+aside) that two texts of the sample hold, whatever their language, SPARE forgiven. Its `floor` is LEAST_KNOWN, or less where the sample is too
 small to hold even its own languages' n-grams: measured as what one half of it holds of the other.
 
-Defined cases: a text that is null, empty or without a letter is `und` with score 0 and known 0; with nothing to learn from, all are;
+Defined cases: a text that is null, empty or without a letter is `und` with score, near and known 0; with nothing to learn from, all are;
 null lang or doc_id teaches nothing; rows that repeat are scored alike; ties go to the smaller name; other columns are left behind. Rows
 without doc_id are not held out.
 """
@@ -38,6 +40,8 @@ SAMPLE, LANDMARKS, RIDGE = 300, 48, 1e-2
 #: The least share of known n-grams, the unknown ones that any text may hold beside, and how many texts of the sample must hold an n-gram
 #: (so that one of another language among them doesn't teach its own).
 LEAST_KNOWN, SPARE, HELD_BY = 0.9, 4, 2
+#: The least that the kernel says for a text's language (of the labelled documents of sf0.1, all have 0.06 or more; Greek, Russian, Chinese 0.04 or less).
+LEAST_NEAR = 0.05
 DIGIT = re.compile(r"\d").search
 WORDS = re.compile(r"[^\W\d_]+").findall
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
@@ -99,6 +103,8 @@ class Model:
     #: The places of the sample's words, and the least share of them that a text of a learned language has.
     seen: np.ndarray
     floor: float
+    #: The least that the kernel says for a text of a learned language.
+    least: float = LEAST_NEAR
 
 
 def known_share(word_places: np.ndarray, seen: np.ndarray) -> float:
@@ -107,6 +113,11 @@ def known_share(word_places: np.ndarray, seen: np.ndarray) -> float:
     return 1.0 if not n else min(1.0, (int(seen[word_places].sum()) + SPARE) / n)
 
 
+def nearness(scores: np.ndarray, constant: np.ndarray) -> np.ndarray:
+    """What the kernel says for the language that it speaks for most, by text."""
+    return (scores - constant).max(-1)
+
+
 def solve(langs: list[str], of: list[str], bits: np.ndarray, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> np.ndarray:
     """The folded matrix, from the bitmaps (a row a text) and languages of training texts."""
     y = np.array([[1.0 if x == k else -1.0 for k in langs] for x in of])
@@ -148,17 +159,29 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE, landmarks: int = LANDMA
     # what one half of the sample knows of the other
     shares = [known_share(np.flatnonzero(np.unpackbits(w)), held[0] >= HELD_BY) for w in word_bits[1::2]] or [1.0]
     floor = min(LEAST_KNOWN, 1 - 2 * (1 - float(np.quantile(shares, 0.01))))
-    return Model(langs, solve(langs, of, bits, landmarks, ridge), seen, floor)
+    return Model(langs, solve(langs, of, bits, landmarks, ridge), seen, floor, _least(langs, of, bits, landmarks, ridge))
+
+
+def _least(langs: list[str], of: list[str], bits: np.ndarray, landmarks: int, ridge: float) -> float:
+    """Half of the nearness that all but one in a hundred texts of one half of the sample have by a classifier of the other; LEAST_NEAR at most."""
+    if set(of[::2]) != set(langs) or len(of) < 2:
+        return 0.0  # too small to say
+    matrix = solve(langs, of[::2], bits[::2], landmarks, ridge)
+    found = []
+    for b in bits[1::2]:
+        x = np.flatnonzero(np.unpackbits(b))
+        found.append(float(nearness(matrix[x].sum(0) / np.sqrt(max(len(x), 1)), 0.0)))
+    return min(LEAST_NEAR, max(0.0, float(np.quantile(found, 0.01)) / 2))
 
 
 def predict(docs: DataFrame, model: Model | None, *keep: str, judge: bool = False) -> DataFrame:
-    """doc_id, lang_pred and score (its share of the languages' exponential scores) of whole texts, with `judge` also `known`; `keep`: more
+    """doc_id, lang_pred and score (its share of the languages' exponential scores) of whole texts, with `judge` also `near` and `known`; `keep`: more
     columns, none of them named like those."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("whole_"), *keep)
     rest = [f for f in source.schema if f.name != "whole_"]
-    schema = T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField("known", T.DoubleType())] if judge else [])])
+    schema = T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField(c, T.DoubleType()) for c in ("near", "known")] if judge else [])])
 
     def work(it: Iterator) -> Iterator:
         import pyarrow as pa
@@ -166,10 +189,11 @@ def predict(docs: DataFrame, model: Model | None, *keep: str, judge: bool = Fals
         m = shared.value
         flags = np.zeros(1 << BITS, dtype=np.uint8)
         for b in common.batches(it, column="whole_"):
-            names, scores, known, at, rows, sizes = [], [], [], [], [], []
+            names, scores, near, known, at, rows, sizes = [], [], [], [], [], [], []
             for i, t in enumerate(b.column("whole_").to_pylist()):
                 names.append("und")
                 scores.append(0.0)
+                near.append(0.0)
                 known.append(0.0)
                 if m and has_letter(t):
                     rows.append(p := places(t, flags))
@@ -180,12 +204,14 @@ def predict(docs: DataFrame, model: Model | None, *keep: str, judge: bool = Fals
             if at:
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 out = np.add.reduceat(m.matrix[np.concatenate(rows)], starts, axis=0) / np.sqrt(sizes)[:, None] + m.matrix[-1]
+                for i, x in zip(at, nearness(out, m.matrix[-1]), strict=True):
+                    near[i] = float(x)
                 e = np.exp(3 * (out - out.max(1, keepdims=True)))
                 e /= e.sum(1, keepdims=True)
                 for i, k, s in zip(at, e.argmax(1), e.max(1), strict=True):
                     names[i], scores[i] = m.langs[k], float(s)
             kept = [(n, b.column(n)) for n in b.schema.names if n != "whole_"]
-            more = [("lang_pred", pa.array(names)), ("score", pa.array(scores)), *([("known", pa.array(known))] if judge else [])]
+            more = [("lang_pred", pa.array(names)), ("score", pa.array(scores)), *([("near", pa.array(near)), ("known", pa.array(known))] if judge else [])]
             yield pa.RecordBatch.from_arrays([c for _, c in kept + more], names=[n for n, _ in kept + more])
 
     return source.mapInArrow(work, schema)

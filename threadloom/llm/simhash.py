@@ -35,8 +35,8 @@ SHARD, DEEPEST = 512, 20
 TILE, SET_TILE = 16_384, 2048
 #: Bands and rows of the min-hashes: of pairs with similarity 0.8, one in 2,900 has no band in common.
 BANDS, ROWS = 20, 5
-#: Bits in which texts of similarity 0.8 may differ (8 in the mean; one in a million differs in more).
-FAR = 22
+#: Shingles of a tile's right rows that are held against one left row at once.
+AT_ONCE = 2_000_000
 REMEMBERED = 100_000
 #: Multipliers of the min-hashes, and of the words of a shingle.
 MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -201,34 +201,36 @@ def class_links(classes: DataFrame, radius: int = RADIUS, parts: int = 2, levels
     return placed.groupBy("shard", "i", "j").applyInPandas(within, "u long, v long")
 
 
-def tile_links(pdf, similarity: float, far: int = FAR) -> list[tuple[int, int]]:
+def tile_links(pdf, similarity: float) -> list[tuple[int, int]]:
     """Links of one tile: pairs of a left and a right row that have the Jaccard similarity of their sets, as far as they join components that
-    neither `comp` nor an earlier link of the tile joined."""
+    neither `comp` nor an earlier link of the tile joined. Sizes that rule a pair out are all that is decided without a look at the sets."""
     own = pdf["left"].to_numpy()
-    fp, node = pdf["fp"].to_numpy().view(np.uint64), pdf["node"].to_numpy()
+    node = pdf["node"].to_numpy()
     if not own.any() or own.all():
         return []
     size = np.fromiter(map(len, pdf["set"]), dtype=np.int64, count=len(pdf))
     _, words = np.unique(np.concatenate(pdf["set"].to_list()), return_inverse=True)
-    begin, held = np.cumsum(size) - size, np.zeros(int(words.max()) + 1, dtype=np.int64)
+    begin, held = np.cumsum(size) - size, np.zeros(int(words.max()) + 1, dtype=bool)
     _, group = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
     right, out = np.flatnonzero(~own), []
     for r in np.flatnonzero(own):
-        near = right[(np.bitwise_count(fp[right] ^ fp[r]) <= far) & (group[right] != group[r])]
+        near = right[group[right] != group[r]]
         # the most that sets of such sizes could have in common
         near = near[np.minimum(size[near], size[r]) >= similarity * np.maximum(size[near], size[r])]
-        if not len(near):
-            continue
         mine = words[begin[r] : begin[r] + size[r]]
-        held[mine] = 1
-        ends = np.cumsum(size[near])
-        flat = np.repeat(begin[near] - ends + size[near], size[near]) + np.arange(ends[-1])
-        both = np.add.reduceat(held[words[flat]], ends - size[near])
-        held[mine] = 0
-        for o in near[both >= similarity * (size[near] + size[r] - both)]:
-            if group[o] != group[r]:
-                out.append((int(node[r]), int(node[o])))
-                group[group == group[o]] = group[r]
+        held[mine] = True
+        for some in np.split(near, np.flatnonzero(np.diff(np.cumsum(size[near]) // AT_ONCE)) + 1):
+            some = some[group[some] != group[r]]
+            if not len(some):
+                continue
+            ends = np.cumsum(size[some])
+            flat = np.repeat(begin[some] - ends + size[some], size[some]) + np.arange(ends[-1])
+            both = np.add.reduceat(held[words[flat]].astype(np.int64), ends - size[some])
+            for o in some[both >= similarity * (size[some] + size[r] - both)]:
+                if group[o] != group[r]:
+                    out.append((int(node[r]), int(node[o])))
+                    group[group == group[o]] = group[r]
+        held[mine] = False
     return out
 
 
@@ -332,7 +334,8 @@ def with_components(mates: DataFrame, labels: DataFrame) -> DataFrame:
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """(doc_id, component_id, rows) of each doc_id: groups of texts that are equal word for word, or linked by a Jaccard similarity of
-    their word shingles of at least `similarity`, checked exactly. rows: how many rows hold the id.
+    their word shingles of at least `similarity`, checked exactly. rows: how many rows hold the id. (Different texts under one doc_id are one
+    document here; one_of_each() names documents by id and text.)
 
     Candidates are the pairs whose fingerprints differ in at most `radius` bits, found by the trees: a spanning forest of them, closer ones
     first. Pairs with a similarity near 0.8 differ in 8 bits in the mean, where trees over parts of 16 bits prune next to nothing (7 bits made
@@ -388,16 +391,28 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     return common.settled(out, "groups", open_, *done)
 
 
-def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The row of the smallest doc_id of each group of similar_groups(); rows without doc_id stay."""
-    kept = common.join_ids(docs, groups.where("component_id <> doc_id"), "left_anti")
-    several = groups.where("component_id = doc_id and rows > 1").select("doc_id")
-    if several.isEmpty():
-        return kept.select(docs.columns)
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    row = F.struct(*(docs[c] for c in docs.columns))
-    one = docs.join(several, "doc_id", "left_semi").select(row.alias("row_"), F.row_number().over(first).alias("nth_")).where("nth_ = 1")
-    return kept.join(several, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(*(F.col("row_")[c].alias(c) for c in docs.columns)))
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of similar_groups(), where a document is a doc_id and a text: that of the smallest doc_id, and one of rows that
+    repeat both. So a text whose doc_id other texts share is judged by itself. Rows without doc_id stay."""
+    key = F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))
+    named = docs.where("doc_id is not null").select(key.alias("doc_id"), "text", F.col("doc_id").alias("own_"))
+    groups = similar_groups(named.drop("own_"), shingle, similarity)
+    shared = groups.groupBy("component_id").agg(F.count("*").alias("n_")).where("n_ > 1").select("component_id")
+    members = common.written(groups.join(shared, "component_id", "left_semi").select("doc_id", "component_id"), "members")
+    ids = common.join_ids(named.drop("text"), members, "left_semi").distinct()
+    first = F.min_by("doc_id", F.struct("own_", "doc_id"))
+    stay = ids.join(members, "doc_id").groupBy("component_id").agg(first.alias("stays_"))
+    gone = common.written(members.join(stay, "component_id").where("doc_id <> stays_").select("doc_id"), "gone")
+    rows = docs.select(F.when(F.col("doc_id").isNotNull(), key).alias("doc_id"), F.struct(*(docs[c] for c in docs.columns)).alias("row_"))
+    kept = common.join_ids(rows, gone, "left_anti").select("doc_id", "row_")
+    repeated = common.written(groups.where("rows > 1").select("doc_id"), "repeated")
+    whole = lambda df: df.select(*(F.col("row_")[c].alias(c) for c in docs.columns))
+    common.drop_written(members, groups)
+    if repeated.isEmpty():
+        return whole(kept)
+    # summed before the shuffle: a third of all rows may be one document
+    one = common.join_ids(kept, repeated, "left_semi").groupBy("doc_id", "row_.text").agg(F.min_by("row_", F.xxhash64("row_")).alias("row_"))
+    return whole(common.join_ids(kept, repeated, "left_anti")).unionByName(whole(one))
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from threadloom.catalog import QUERIES, SQL
-from threadloom.operators import components, correlate, documents, evidence, execution, flows, graph, inventory, navigation, overview, project, runtime, search, views
+from threadloom.operators import components, correlate, documents, evidence, execution, flows, graph, inventory, navigation, overview, project, runtime, search, structure, views
 from threadloom.sources import protocols
 from threadloom.streaming import sessions, spans
 
-__all__ = ["QUERIES", "SQL", "components", "correlate", "documents", "evidence", "execution", "flows", "graph", "inventory", "navigation", "overview", "project", "protocols", "runtime", "search", "sessions", "spans", "views"]
+__all__ = ["QUERIES", "SQL", "components", "correlate", "documents", "evidence", "execution", "flows", "graph", "inventory", "navigation", "overview", "project", "protocols", "runtime", "search", "sessions", "spans", "structure", "views"]

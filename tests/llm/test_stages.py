@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import SMALL
-from threadloom.llm import common, decontaminate, language, simhash
+from threadloom.llm import common, decontaminate, language, simhash, toxicity
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -110,3 +110,17 @@ def test_repeated_passages_lose_no_pair(spark):
     assert all(got[2 * k + 1] == 2 * k for k in range(40))
     far = [int(np.bitwise_count(np.uint64(simhash.fingerprint(texts[2 * k]) ^ simhash.fingerprint(texts[2 * k + 1])))) for k in range(40)]
     assert max(far) > 10
+
+
+def test_op5_locates_sentences_in_its_query(spark):
+    docs = common.table(spark, SMALL.replace("0.001", "0.01"), "documents")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    rows = toxicity.op5_multiple_instance_toxicity(spark, SMALL.replace("0.001", "0.01")).collect()
+    assert len(rows) == len(texts) and any(r.predicted for r in rows)
+    for r in rows:
+        if not r.predicted:
+            assert r.sentence is None and r.probability is None
+        elif r.sentence is not None:
+            assert r.sentence in toxicity.sentences(texts[r.doc_id]) and 0 < r.probability <= r.score + 1e-9
+    # a text is as toxic as its sentences together, by noisy-or, so one of them accounts for its share at least
+    assert all(1 - (1 - r.probability) ** len(toxicity.sentences(texts[r.doc_id])) >= r.score - 1e-6 for r in rows if r.predicted and r.sentence is not None)

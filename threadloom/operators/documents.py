@@ -182,7 +182,18 @@ def a19(spark, sf_dir):
     return m.groupBy("doc_id").agg(F.count("*").alias("hits"), F.min("line_no").alias("first_line"), F.array_join(F.sort_array(F.collect_set(F.col("line_no").cast("string"))), ",").alias("lines"))
 
 
-@query("h6_merged_search")
+HITS = rf"""{MATCHES}, seg AS (SELECT doc_id, n, k, trim(s, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS label FROM (SELECT doc_id, n, unnest(string_split(regexp_replace(line, '([.!?][''")\]}}”’]*)(\s)', '\1' || chr(1) || '\2', 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(line, '([.!?][''")\]}}”’]*)(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)), 1) AS k
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM files))),
+  segs AS (SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) - 1 AS position FROM seg WHERE label <> ''),
+  every AS (SELECT 0 AS phase, 3 AS rank, relative_path, position AS place FROM segs JOIN files USING (doc_id) WHERE contains({FOLD.format("label")}, 'token')
+    UNION ALL SELECT 1, 5, relative_path, 1 FROM files WHERE contains({FOLD.format("relative_path")}, 'token') UNION ALL SELECT 2, 6, relative_path, line_no FROM placed WHERE nth <= 50)"""
+
+
+@query(
+    "h6_merged_search",
+    f"""{HITS}, counts AS (SELECT phase, count(*) AS n FROM every GROUP BY phase), reached AS (SELECT phase, coalesce(sum(n) OVER (ORDER BY phase ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= 500 AS reached, sum(n) OVER () AS found FROM counts)
+  SELECT phase, rank, relative_path, place, found > 500 AS truncated FROM every JOIN reached USING (phase) WHERE reached ORDER BY rank, relative_path, place LIMIT 500""",
+)
 def h6(spark, sf_dir):
     return merged_search(T.files(spark, sf_dir), "token", 500)
 

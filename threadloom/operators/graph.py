@@ -32,7 +32,8 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, roots: list[str], depth: in
     cap = min(50, limit)
     truncated = len(roots) > cap
     spark = nodes.sparkSession
-    chosen = edges if kinds is None else edges.where(F.col("kind").isin(kinds))
+    # written once: each layer asks it, and edges are often a union of joins
+    chosen = written((edges if kinds is None else edges.where(F.col("kind").isin(kinds))).select("id", "source", "target"), "chosen")
     ids = lambda values: spark.createDataFrame([(v,) for v in values], "id string")
     # every list below is bounded by `limit` or 4 * limit, whatever the size of the graph
     selected = {r["id"] for r in nodes.join(ids(roots[:cap]), "id", "left_semi").select("id").collect()}
@@ -53,6 +54,7 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, roots: list[str], depth: in
         loaded = sorted(r["id"] for r in nodes.join(ids(new[:room]), "id", "left_semi").select("id").collect()) if new[:room] else []
         selected |= set(loaded)
         frontier = loaded
+    drop_written(chosen)
     both = sorted(k for k, r in kept.items() if r["source"] in selected and r["target"] in selected)
     return nodes.join(ids(sorted(selected)), "id", "left_semi"), edges.join(ids(both[: 4 * limit]), "id", "left_semi"), truncated
 

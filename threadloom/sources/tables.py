@@ -107,7 +107,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     node = lambda kind, key: F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
     put = lambda df, a, b, kind, evidence: df.select(a.alias("source"), b.alias("target"), F.lit(kind).alias("kind"), F.lit(evidence).alias("evidence"))
-    items = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    items = spread(t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey"))
     all_ = (
         put(t("nation"), node("service", "n_regionkey"), node("controller", "n_nationkey"), "contains", "declared")
         .unionByName(put(t("customer"), node("controller", "c_nationkey"), node("class", "c_custkey"), "contains", "declared"))

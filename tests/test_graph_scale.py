@@ -8,7 +8,7 @@ import re
 import pandas as pd
 import pytest
 
-from threadloom.operators import components, correlate, flows
+from threadloom.operators import components, correlate, flows, references
 
 
 @pytest.mark.parametrize(("n", "edges"), [(40, 50), (40, 90), (60, 64)])
@@ -47,3 +47,29 @@ def test_routes_are_those_of_all_comparisons(spark, monkeypatch, most):
     once = {q: [k for a, k in want if a == q] for q, _ in want}
     assert {(x.request, x.route) for x in correlate.correlated(r, t).collect()} == {(q, k[0]) for q, k in once.items() if len(k) == 1}
     assert "NestedLoop" not in correlate.matches(r, t)._jdf.queryExecution().executedPlan().toString()
+
+
+def plain_chain(items: dict, start: str):
+    at, seen, hops = start, [], 0
+    while (ref := items[at]) is not None:
+        if not ref.startswith("#/"):
+            return at, hops, "remote"
+        if ref[1:] in seen:
+            return at, hops, "cycle"
+        if hops == references.HOPS:
+            return at, hops, "long"
+        if ref[1:] not in items:
+            return at, hops, "missing"
+        at, hops = ref[1:], hops + 1
+        seen.append(at)
+    return at, hops, None
+
+
+def test_references_are_followed_one_by_one(spark):
+    rng = random.Random(11)
+    docs = {d: {f"/p{k}": rng.choice([None, "x.json#/p1", "#/nowhere", "#", *(f"#/p{rng.randrange(30)}" for _ in range(9))]) for k in range(30)} for d in range(4)}
+    docs[9] = {f"/p{k}": f"#/p{k + 1}" for k in range(12)} | {"/p12": None, "/self": "#/self"}
+    rows = [(d, p, r) for d, items in docs.items() for p, r in items.items()]
+    got = {(r.document, r.pointer): (r.target, r.hops, r.stopped) for r in references.followed(spark.createDataFrame(rows, "document int, pointer string, ref string")).collect()}
+    assert got == {(d, p): plain_chain(items, p) for d, items in docs.items() for p in items}
+    assert {s for *_, s in got.values()} == {None, "remote", "missing", "cycle", "long"}

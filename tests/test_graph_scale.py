@@ -8,7 +8,7 @@ import re
 import pandas as pd
 import pytest
 
-from threadloom.operators import components, correlate, flows, references
+from threadloom.operators import components, correlate, flows, references, triangles
 
 
 @pytest.mark.parametrize(("n", "edges"), [(40, 50), (40, 90), (60, 64)])
@@ -73,3 +73,15 @@ def test_references_are_followed_one_by_one(spark):
     got = {(r.document, r.pointer): (r.target, r.hops, r.stopped) for r in references.followed(spark.createDataFrame(rows, "document int, pointer string, ref string")).collect()}
     assert got == {(d, p): plain_chain(items, p) for d, items in docs.items() for p in items}
     assert {s for *_, s in got.values()} == {None, "remote", "missing", "cycle", "long"}
+
+
+def test_common_neighbours_of_adjacent_pairs(spark):
+    rng = random.Random(13)
+    rows = [(rng.randrange(30), rng.randrange(30)) for _ in range(150)] + [(99, k) for k in range(30)] + [(None, 1), (2, None)]
+    near: dict = {}
+    for a, b in rows:
+        if a is not None and b is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    got = {(r.a, r.b): r.common for r in triangles.common_neighbours(spark.createDataFrame(rows, "source long, target long")).collect()}
+    assert got == {(a, b): len(near[a] & near[b]) for a in near for b in near[a] if a < b}

@@ -311,11 +311,11 @@ def flow_root(nodes: DataFrame) -> str | None:
 def g3(spark, sf_dir):
     """One flow, from the facts of the given tables, with what each node's links are and how many of them are left out."""
     nodes, edges = flow_facts(spark, sf_dir)
-    nodes = written(nodes, "flow-nodes")
+    nodes, edges = written(nodes, "flow-nodes"), written(edges, "flow-edges")  # each family of links asks both
     links = written(flow_links(nodes, edges), "flow-links")
     root = flow_root(nodes)
     flow = execution_flow(nodes, links, root, limit=MOST_NODES) if root else Flow()
-    drop_written(nodes, links)
+    drop_written(nodes, edges, links)
     rows = [(i, n["parent"], n["depth"], n["candidate_only"], n["children"], n["omitted"]) for i, n in flow.nodes.items()]
     return spark.createDataFrame(rows, "id string, parent string, depth int, candidate_only boolean, children long, omitted long")
 

@@ -49,6 +49,15 @@ def test_routes_are_those_of_all_comparisons(spark, monkeypatch, most):
     assert "NestedLoop" not in correlate.matches(r, t)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_single_route_is_found_without_pairs(spark, monkeypatch):
+    """Routes that share a key meet requests as one row: 3,000 times 3,000 pairs are never made."""
+    monkeypatch.setattr(correlate, "matches", None)
+    routes = spark.range(3000).selectExpr("id as route", "'GET' as method", "'/a/{b}' as template").union(spark.sql("select 5000L, 'POST', '/a/:c' union all select 5000L, null, '/a/*/d' union all select 5001L, 'PUT', '/a/x'"))
+    requests = spark.range(3000).selectExpr("id as request", "if(id % 3 = 0, 'post', 'get') as method", "concat('/a/', id % 7) as path").union(spark.sql("select 9000L, null, '/a/1/d' union all select 9001L, 'put', '/a/x' union all select 9001L, 'post', '/a/y' union all select 9002L, null, '/a/x'"))
+    got = {(r.request, r.route) for r in correlate.correlated(requests, routes).collect()}
+    assert got == {(k, 5000) for k in range(0, 3000, 3)} | {(9000, 5000)}
+
+
 def plain_chain(items: dict, start: str):
     at, seen, hops = start, [], 0
     while (ref := items[at]) is not None:

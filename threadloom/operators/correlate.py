@@ -37,27 +37,52 @@ def keyed(parts: Column, mask: Column) -> Column:
     return F.array_join(F.transform(parts, lambda s, i: F.when(F.substr(mask, i + 1, F.lit(1)) == "1", "\u0000").otherwise(s)), "/")
 
 
-def matches(requests: DataFrame, routes: DataFrame) -> DataFrame:
-    """(request, route): pairs of requests (request, method, path) and routes (route, method, template) whose path matches and whose methods, where
-    both are known, agree."""
-    named = routes.withColumns({"parts_": segments(request_path(F.col("template"))), "same_": request_path(F.col("template"))})
+def keyed_routes(routes: DataFrame) -> DataFrame:
+    """routes as (route, made_, mask, key)."""
+    named = routes.withColumn("parts_", segments(request_path(F.col("template"))))
     mask = F.array_join(F.transform("parts_", lambda s: F.when(s.rlike(WILD), "1").otherwise("0")), "")
-    templates = named.withColumn("mask", mask).select("route", F.col("method").alias("made_"), "mask", keyed(F.col("parts_"), mask).alias("key"))
+    return named.select("route", F.upper("method").alias("made_"), mask.alias("mask"), keyed(F.col("parts_"), mask).alias("key"))
+
+
+def keyed_paths(paths: DataFrame, templates: DataFrame) -> DataFrame:
+    """paths (path, ...) under each mask of their length that any template has, with mask and key instead of the path."""
     masks = written(templates.select("mask").distinct().withColumn("n_", F.length("mask")), "masks")
     few = masks.count() <= MOST_MASKS
-    paths = requests.select("request", F.upper("method").alias("asked_"), segments(request_path(F.col("path"))).alias("parts_")).where("parts_ is not null")
-    tried = paths.withColumn("n_", F.size("parts_")).join(F.broadcast(masks) if few else masks, "n_")
-    tried = tried.select("request", "asked_", "mask", keyed(F.col("parts_"), F.col("mask")).alias("key"))
-    met = tried.join(templates, ["mask", "key"]).where("asked_ is null or made_ is null or asked_ = upper(made_)").select("request", "route").distinct()
-    met.masks_ = masks
+    parts = paths.withColumn("parts_", segments(request_path(F.col("path")))).where("parts_ is not null").withColumn("n_", F.size("parts_"))
+    tried = parts.join(F.broadcast(masks) if few else masks, "n_").withColumn("key", keyed(F.col("parts_"), F.col("mask"))).drop("n_", "parts_")
+    tried.masks_ = masks
+    return tried
+
+
+AGREED = "asked_ is null or made_ is null or asked_ = made_"
+
+
+def matches(requests: DataFrame, routes: DataFrame) -> DataFrame:
+    """(request, route): pairs of requests (request, method, path) and routes (route, method, template) whose path matches and whose methods, where
+    both are known, agree. Every pair is a row; correlated() makes none."""
+    templates = keyed_routes(routes)
+    tried = keyed_paths(requests.select("request", F.upper("method").alias("asked_"), "path"), templates)
+    met = tried.join(templates, ["mask", "key"]).where(AGREED).select("request", "route").distinct()
+    met.masks_ = tried.masks_
     return met
 
 
 def correlated(requests: DataFrame, routes: DataFrame) -> DataFrame:
-    """(request, route, confidence): requests that match exactly one route."""
-    found = matches(requests, routes)
-    out = found.groupBy("request").agg(F.count("*").alias("n_"), F.min("route").alias("route")).where("n_ = 1").select("request", "route", F.lit(CONFIDENCE).alias("confidence"))
-    out.masks_ = found.masks_
+    """(request, route, confidence): requests that match exactly one route.
+
+    A route is the only one where the smallest and the largest that match are the same. So routes of one key and method are one row with both, paths and
+    methods are looked up once each, and requests meet what was found for theirs: rows are those of the requests, however many routes share a key."""
+    ends = [F.min("low").alias("low"), F.max("high").alias("high"), F.max("none").alias("none")]
+    of_route = keyed_routes(routes).withColumns({"low": F.col("route"), "high": F.col("route"), "none": F.col("route").isNull()})
+    templates = of_route.groupBy("mask", "key", "made_").agg(*ends)
+    asked = requests.select("request", F.upper("method").alias("asked_"), "path")
+    tried = keyed_paths(asked.select("asked_", "path").distinct(), templates)
+    found = tried.join(templates, ["mask", "key"]).where(AGREED).groupBy("asked_", "path").agg(*ends)
+    found = found.select(F.col("asked_").alias("found_asked_"), F.col("path").alias("found_path_"), "low", "high", "none")
+    met = asked.join(found, F.col("asked_").eqNullSafe(F.col("found_asked_")) & (F.col("path") == F.col("found_path_")))
+    only = met.groupBy("request").agg(*ends).where("(low = high and not none) or (low is null and none)")
+    out = only.select("request", F.col("low").alias("route"), F.lit(CONFIDENCE).alias("confidence"))
+    out.masks_ = tried.masks_
     return out
 
 

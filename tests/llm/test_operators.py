@@ -728,3 +728,14 @@ def test_url_filter_intervals(spark):
     assert url_filter.evaluate(captures.limit(0), changes).count() == 0 and not url_filter.evaluate(captures, changes.limit(0)).where("blocked").count()
 
 
+
+
+def test_personal_data_is_learned_from_every_document(spark, monkeypatch):
+    """No document is left out of the fit, however many there are."""
+    docs = spark.range(50_000).selectExpr("id as doc_id", "'write to a.b@example.org, card 4111 1111 1111 1111' as text")
+    counted = []
+    trees = pii.Boosted.__init__
+    monkeypatch.setattr(pii.Boosted, "__init__", lambda self, cells, *a: (counted.append(sum(c[1] + c[2] for c in cells)), trees(self, cells, *a))[1])
+    pii.fit(docs)
+    half = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)) == 0).count()
+    assert counted[0] >= 2 * half

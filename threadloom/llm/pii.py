@@ -10,8 +10,8 @@ that overlaps a base span of its kind as a positive, and one that breaks the kin
 rewritings that would pass if they were plain - has no label and takes no part in the fit; those are what the trees judge. (Those alone: a
 proposal must pass its kind's check when its separators are made plain, so the rule has the last word on what the trees accept.)
 
-Fitting uses a bounded sample of documents (SAMPLE in expectation); its labelled candidates are counted by Spark by feature values, so
-at most a row a candidate of the sample reaches the driver. The trees are one SQL expression, so scoring is a projection: one pass
+Fitting uses all documents; their labelled candidates are counted by Spark by feature values, of which there are few combinations
+(FEATURES), so what reaches the driver doesn't grow with the documents. The trees are one SQL expression, so scoring is a projection: one pass
 over the texts, no shuffle.
 
 Defined cases: null texts are empty and have no spans; candidates of one kind never overlap (the leftmost stays, then
@@ -57,7 +57,6 @@ PROPOSALS = {
 PROPOSAL_HINT = {"email": r"(?i)[\(\[\{<]at[\)\]\}>]|\x20dot\x20", "ip": rf"(?i)[0-9](?:{STOP})[0-9]", "card": r"[0-9]{4}[./_\x20-][0-9]{4}[./_\x20-]", "phone": r"[0-9]{2}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3}"}
 #: A proposal of an address that is one, once it is plain.
 ADDRESS = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$"
-SAMPLE = 20_000
 ROUNDS, RATE, LEAST_PRECISION = 30, 0.3, 0.9
 #: The features of a candidate, and how many values each may have.
 FEATURES = {"kind_": 4, "digits_": 8, "joints_": 4, "first_": 5, "group_": 4, "before_": 5, "after_": 4, "word_": 6}
@@ -241,14 +240,12 @@ class Boosted:
 Detector = tuple[Boosted | None, dict[str, float]]
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Detector:
-    """Trees fitted on the labelled candidates of one half of the sample, and thresholds calibrated on those of the other."""
-    n = docs.count()
-    part = docs if n <= sample else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+def fit(docs: DataFrame) -> Detector:
+    """Trees fitted on the labelled candidates of one half of the documents, and thresholds calibrated on those of the other."""
     text = F.col("text")
-    part = common.whole_texts(part).withColumns({f"base_{k}": base_spans(text, k) for k in KINDS})
+    part = common.whole_texts(docs).withColumns({f"base_{k}": base_spans(text, k) for k in KINDS})
     every = part.select(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("half"), F.explode(F.concat(*(labelled(text, k, F.col(f"base_{k}")) for k in KINDS))).alias("c"))
-    counted = every.groupBy("half", *(f"c.{n}" for n in FEATURES)).agg(F.sum("c.y").alias("pos"), F.count("*").alias("all")).collect()  # a row a candidate of the sample at most
+    counted = every.groupBy("half", *(f"c.{n}" for n in FEATURES)).agg(F.sum("c.y").alias("pos"), F.count("*").alias("all")).collect()  # a row a combination of feature values and half at most
     halves: tuple[list, list] = ([], [])
     for r in counted:
         halves[r["half"]].append((tuple(r[n] for n in FEATURES), r["all"] - r["pos"], r["pos"]))

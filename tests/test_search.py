@@ -97,3 +97,28 @@ def test_terms_with_marks(spark):
     assert [r.start_column for r in documents.line_matches(files, "\\e 1").collect()] == [6]
     masked = files.select(documents.mask_patterns(F.col("text"), ("\\E", "it's", "100%", "100"))).collect()
     assert [r[0] for r in masked] == ["[REDACTED] [REDACTED] [REDACTED] [REDACTED]", "its"]
+
+
+def test_postings_are_written_where_they_are_made(spark):
+    """Only texts are dealt out: nothing is shuffled or sorted after the step that makes postings, which are many times the texts."""
+    files = frame(spark, corpus(60))
+    plan = search.postings_of(files.where("text is not null"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    stages = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    path = new_path(spark, "index")
+    search.write_postings(search.postings_of(files.where("text is not null")).withColumn("folder", F.expr("cast(pmod(xxhash64(gram), 8) as int)")), path, 8)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    assert len(jobs) - stages == 1 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    held = spark.read.parquet(path)
+    assert held.select("folder").distinct().count() == 8
+    assert held.agg(F.sum("n")).first()[0] == sum(max(len(t or "") - 2, 0) for t in corpus(60).values())
+
+
+def test_blocks_of_texts_keep_their_places(spark, monkeypatch):
+    texts = corpus(60)
+    for chars in (1, 50, 1000):
+        monkeypatch.setattr(search, "BLOCK_CHARS", chars)
+        rows = search.postings_of(frame(spark, {k: t or "" for k, t in texts.items()}).coalesce(1)).collect()
+        assert sorted((r.key, p, r.gram) for r in rows for p in r.places) == sorted((k, p, g) for k, t in texts.items() if t for p, g in enumerate(search.trigrams(t).tolist()))
+        assert all(r.n == len(r.places) for r in rows)

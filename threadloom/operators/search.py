@@ -1,16 +1,15 @@
 """A trigram index: posting lists by trigram, built and replaced a file at a time, that answer literal phrases without a look at the texts.
 
 `postings` has a row a trigram and file: how often, and where (places in characters). A trigram of A-Z-folded characters is one number of 63 bits.
-Rows lie in folders by a hash of the trigram, sorted by trigram and file, so that a phrase reads the row groups of its few trigrams. A phrase of n
+Rows lie in folders by a hash of the trigram, in blocks of texts, each sorted by trigram and file, so that a phrase reads the pages of its few trigrams. A phrase of n
 characters is covered by every third trigram and the last; where their places, each less its offset, meet, the phrase stands: what the index
 finds needs no check. `entries` has a row a file: its size, its number of trigrams (the length that BM25 takes) and what else the caller keeps.
 
 Changes are a further generation of both tables: a file's entry in the latest generation that names it counts, a removed file's says so, and postings
 of older generations go with their entries. compacted() writes what counts as one generation.
 
-Frequent trigrams have a row in every file that holds them, so folders are dealt to tasks by a salt of the file, too. Files without key are left out;
-files of a key that repeats in a generation are one entry, the one with the largest text; null texts are empty; texts of under three characters have
-an entry and no posting; a phrase of under three characters is refused (short_query() is for those).
+Postings are many times the texts, so they are written where they are made, and never shuffled. Files without key are left out; files of a key that
+repeats in a generation are one entry, the one with the largest text; null texts are empty; texts of under three characters have an entry and no posting; a phrase of under three characters is refused (short_query() is for those).
 """
 
 from __future__ import annotations
@@ -26,13 +25,14 @@ from threadloom.functions import text as X
 from threadloom.plans.stages import new_path
 from threadloom.sources import tables as T
 
-#: Characters of text in a folder of postings, about; folders at most; characters of a folder that one task writes.
-FOLDER_CHARS, FOLDERS, TASK_CHARS = 4 << 20, 1024, 32 << 20
+#: Characters of text in a folder of postings, about; folders at most (a task has a file open in each); characters of a task's texts, and
+#: of a block of them that is sorted as one; rows that a task sends at once.
+FOLDER_CHARS, FOLDERS, TASK_CHARS, BLOCK_CHARS, SENT_ROWS = 4 << 20, 32, 32 << 20, 4 << 20, 1 << 16
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Files by content and labels that a search looks at, best first; kinds whose labels are found in the contents anyway. (Fixed values.)
 MOST_FILES, MOST_LABELS = 2_000, 1_000
 UNLISTED_KINDS = ("file", "callTarget", "module")
-WRITER = {"parquet.page.size": str(64 << 10), "parquet.block.size": str(16 << 20), "parquet.writer.version": "v2", "compression": "zstd"}
+WRITER = {"parquet.page.size": str(64 << 10), "parquet.page.row.count.limit": "4096", "parquet.block.size": str(8 << 20), "parquet.writer.version": "v2", "compression": "zstd"}
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -43,28 +43,60 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def postings_of(files: DataFrame) -> DataFrame:
-    """(gram, key, n, places) of files (key, text)."""
+    """(gram, key, n, places) of files (key, text): a block of texts after the other, each sorted by trigram and file."""
 
     def work(it: Iterator) -> Iterator:
         import pyarrow as pa
-
+        import pyarrow.compute as pc
+
+        def block(parts: list) -> Iterator:
+            keys, texts = (pa.concat_arrays([p.column(c) for p in parts]) for c in ("key", "text"))
+            lengths = pc.utf8_length(texts).to_numpy().astype(np.int64)
+            every = trigrams("".join(texts.to_pylist()))
+            file = np.repeat(np.arange(len(keys), dtype=np.int32), lengths)[: len(every)]
+            place = np.arange(len(every)) - (np.cumsum(lengths) - lengths)[file]
+            within = np.flatnonzero(place < lengths[file] - 2)  # no trigram is of two texts
+            within = within[np.argsort(every[within], kind="stable")]  # files and places stay in order within a trigram
+            every, file, place = every[within], file[within], place[within].astype(np.int32)
+            first = np.flatnonzero(np.r_[True, (every[1:] != every[:-1]) | (file[1:] != file[:-1])]) if len(every) else within
+            ends = np.r_[first, len(every)]
+            for at in range(0, len(first), SENT_ROWS):
+                some = ends[at : at + SENT_ROWS + 1]
+                lists = pa.ListArray.from_arrays(pa.array((some - some[0]).astype(np.int32)), pa.array(place[some[0] : some[-1]]))
+                rows = some[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array(every[rows]), keys.take(pa.array(file[rows])), pa.array(np.diff(some).astype(np.int32)), lists], names=["gram", "key", "n", "places"])
+
+        parts, size = [], 0
         for batch in it:
-            for at in range(batch.num_rows):
-                grams = trigrams(batch.column("text")[at].as_py())
-                if not len(grams):
-                    continue
-                order = np.argsort(grams, kind="stable")
-                grams = grams[order]
-                first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-                ends = np.r_[first, len(grams)]
-                places = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(order.astype(np.int32)))
-                key = batch.column("key").take(pa.array(np.full(len(first), at)))
-                yield pa.RecordBatch.from_arrays([pa.array(grams[first]), key, pa.array(np.diff(ends).astype(np.int32)), places], names=["gram", "key", "n", "places"])
+            ends = np.cumsum(pc.utf8_length(batch.column("text")).to_numpy().astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                before = ends[start - 1] if start else 0
+                stop = min(int(np.searchsorted(ends, before + BLOCK_CHARS - size)) + 1, batch.num_rows)
+                parts.append(batch.slice(start, stop - start))
+                size += int(ends[stop - 1] - before)
+                start = stop
+                if size >= BLOCK_CHARS:
+                    yield from block(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from block(parts)
 
     kind = files.schema["key"].dataType.simpleString()
     return files.select("key", "text").mapInArrow(work, f"gram long, key {kind}, n int, places array<int>")
 
 
+def write_postings(rows: DataFrame, path: str, folders: int) -> None:
+    """Postings (with their folder) where they are: a task keeps a file open in each folder, so nothing is shuffled, or sorted again."""
+    conf, name = rows.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, str(folders + 1))  # a task that reaches this number sorts what is left
+    try:
+        rows.write.options(**WRITER).partitionBy("folder").parquet(path)
+    finally:
+        conf.set(name, before)
+
+
 class TrigramIndex:
     """An index in a folder: `build` makes it, `replace` and `remove` change it, `phrase` and `ranked` ask it."""
 
@@ -77,15 +109,15 @@ class TrigramIndex:
         if chars is None:
             chars = files.agg(F.sum(F.char_length("text"))).first()[0] or 0
         folders = folders or int(min(FOLDERS, max(8, chars // FOLDER_CHARS)))
-        salts = int(max(1, chars // (folders * TASK_CHARS)))
         size = F.char_length("text")
         entries = files.select("key", size.alias("size"), F.greatest(size - 2, F.lit(0)).alias("grams"), F.lit(False).alias("removed"), F.lit(folders).alias("folders"), *kept)
         if files.groupBy("key").count().where("count > 1").limit(1).count():
             largest = files.groupBy("key").agg(F.max_by(F.struct("text", *kept), F.struct(F.char_length("text"), "text")).alias("f")).select("key", "f.*")
             return self._write(largest, generation, folders, chars)
-        rows = postings_of(files).withColumn("folder", F.pmod(F.xxhash64("gram"), F.lit(folders)).cast("int"))
-        rows = rows.repartition("folder", F.pmod(F.xxhash64("key"), F.lit(salts))).sortWithinPartitions("folder", "gram", "key")
-        rows.write.options(**WRITER).partitionBy("folder").parquet(f"{self.path}/postings/generation={generation}")
+        # texts are dealt out evenly, however the input is cut; that is little beside their postings
+        tasks = max(self.spark.sparkContext.defaultParallelism, int(chars // TASK_CHARS))
+        rows = postings_of(files.select("key", "text").repartition(tasks)).withColumn("folder", F.pmod(F.xxhash64("gram"), F.lit(folders)).cast("int"))
+        write_postings(rows, f"{self.path}/postings/generation={generation}", folders)
         entries.write.parquet(f"{self.path}/entries/generation={generation}")
         return None
 
@@ -162,8 +194,7 @@ class TrigramIndex:
         folders = self._folders()
         live.drop("generation").withColumns({"removed": F.lit(False), "folders": F.lit(folders)}).write.parquet(f"{path}/entries/generation=0")
         rows = self._table("postings").join(live.select("key", "generation"), ["key", "generation"], "left_semi").drop("generation")
-        rows = rows.repartition("folder", F.pmod(F.xxhash64("key"), F.lit(4))).sortWithinPartitions("folder", "gram", "key")
-        rows.write.options(**WRITER).partitionBy("folder").parquet(f"{path}/postings/generation=0")
+        write_postings(rows, f"{path}/postings/generation=0", folders)
         return TrigramIndex(self.spark, path)
 
 

@@ -19,6 +19,8 @@ from threadloom.sources import tables as T
 
 # Bounds, and what stands in the place of a secret.
 PATTERNS, PATTERN_BYTES, SHOWN_BYTES = 256, 256 * 1024, 1 << 20
+#: Texts that are Python objects at a time.
+SENT_ROWS = 256
 REDACTED, HIDDEN = "[REDACTED]", "[CONTENT HIDDEN: REDACTION LIMIT]"
 SENSITIVE = re.compile("|".join(X.SENSITIVE_TOKENS)).search
 
@@ -97,7 +99,7 @@ def redacted(rows: DataFrame, patterns: list[str], column: str = "text", most: i
         import pyarrow as pa
 
         redactor = Redactor(secrets.value)
-        for b in it:
+        for b in (whole.slice(at, SENT_ROWS) for whole in it for at in range(0, whole.num_rows, SENT_ROWS)):
             found = [(None, None) if t is None else redactor.preview(t, most) for t in b.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.bool_())], names=["key", "preview", "cut"])
 

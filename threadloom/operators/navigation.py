@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.catalog import query
 from threadloom.functions import text as X
 from threadloom.operators import graph, overview
+from threadloom.plans.stages import written
 from threadloom.sources import tables as T
 
 # Stages of a flow and other names for them, kinds by stage, lanes by declared layer and by what a kind's name holds.
@@ -152,20 +153,23 @@ def change_projection(nodes: DataFrame, edges: DataFrame, changes: DataFrame, fo
     changed = nodes.join(changes, "file_path").select("id", "file_path", "change")
     if focus is not None and not (one := changed.where(F.col("id") == focus)).isEmpty():
         changed = one
-    ids = graph.reachable(graph.reverse(edges), changed.select("id").distinct()).select("id").distinct()
-    led = nodes.join(ids, "id", "left_semi").join(changed.select("id", "change"), "id", "left")
+    ids = written(graph.reachable(graph.reverse(edges), changed.select("id").distinct()).select("id"), "led")  # layers hold an id once
+    near = graph.near(ids)
+    led = nodes.join(near, "id", "left_semi").join(changed.select("id", "change"), "id", "left")
     marker = F.concat(F.lit("git-change:"), F.col("file_path"))
     said = F.create_map(*(F.lit(x) for kv in CHANGE_LABELS.items() for x in kv))
     shown = F.concat_ws(" ", said[F.col("change")], X.basename(F.col("file_path")))
     marks = changes.select(marker.alias("id"), F.concat(F.lit("git-"), "change").alias("kind"), shown.alias("label"), "change")
     links = changed.select(F.concat_ws(":", marker, "id").alias("id"), F.col("id").alias("source"), marker.alias("target"), F.lit("changedIn").alias("kind"), "change")
-    inner = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    # what leads to a shown node is shown, so an edge's target tells of both its ends
+    inner = edges.where("source is not null").join(near.withColumnRenamed("id", "target"), "target", "left_semi")
     none = F.lit(None).cast("string").alias("change")
     return led.select("id", "kind", "label", "change").unionByName(marks), inner.select("id", "source", "target", "kind", none).unionByName(links)
 
 
 def overview_detail(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The neighbourhood (4 steps, 500 nodes) of what the overview shows: its first 50 ids are the roots."""
+    edges = written(edges.select("id", "source", "target", "kind", "evidence"), "detail-edges")  # asked by both
     roots = sorted(r["id"] for r in overview.overview(nodes, edges).select("id").collect())[:50]  # the overview has 60 nodes at most
     return graph.neighborhood(nodes, edges, roots, depth=4, limit=500)[0]
 

@@ -47,7 +47,9 @@ def overview(nodes: DataFrame, edges: DataFrame, limit: int = 60, depth: int = 2
     """(id, kind, label, layer): seeds and what the semantic edges around them reach, within the bounds; every layer of it is bounded by them."""
     spark = nodes.sparkSession
     limit = max(1, min(limit, 60))
-    edges = written(edges.select("id", "source", "target", "kind", "evidence"), "overview-edges")  # asked by the seeds and each layer
+    given = hasattr(edges, "path_")
+    if not given:
+        edges = written(edges.select("id", "source", "target", "kind", "evidence"), "overview-edges")  # asked by the seeds and each layer
     usable = edges.where(F.col("kind").isin(*OVERVIEW_EDGES) & ~((F.col("kind") == "resolvesTo") & (F.col("evidence") == "inferred")))
     ids = lambda values: spark.createDataFrame([(v,) for v in values], "id string")
     selected = {r["id"] for r in seeds(nodes, edges, limit).collect()}
@@ -61,7 +63,8 @@ def overview(nodes: DataFrame, edges: DataFrame, limit: int = 60, depth: int = 2
         selected |= set(loaded)
         kept |= {r["id"] for r in found if r["source"] in selected and r["target"] in selected}
         frontier = loaded
-    drop_written(edges)
+    if not given:
+        drop_written(edges)
     placed = nodes.join(ids(sorted(selected)), "id", "left_semi")
     return placed.select("id", "kind", "label", X.system_layer(F.col("kind"), F.col("label"), F.col("file_path"))["layer"].alias("layer"))
 

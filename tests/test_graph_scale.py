@@ -25,6 +25,53 @@ def test_no_edges_no_components(spark):
     assert components.strong_components(spark.createDataFrame([("a", "b")], "source string, target string")).count() == 0
 
 
+def cycles(count: int, length: int) -> list:
+    """Cycles that share nothing, each with a tail on either side; numbers are mixed, so that their order says nothing of the way round."""
+    at = lambda c, k: c * 1000 + k * 37 % 101
+    return [(at(c, k), at(c, (k + 1) % length)) for c in range(count) for k in range(length)] + [(c * 1000 + 500, at(c, 0)) for c in range(count)] + [(at(c, 1), c * 1000 + 501) for c in range(count)]
+
+
+def test_small_graphs_take_no_rounds_over_all_of_them(spark, monkeypatch):
+    """Tables written: a few for each halving of a piece, not some for each step round a cycle."""
+    tables = []
+    monkeypatch.setattr(components, "written", lambda df, name, plain=components.written: tables.append(name) or plain(df, name))
+    rows = cycles(20, 60)
+    got = {tuple(r) for r in components.strong_components(spark.createDataFrame(rows, "source long, target long")).collect()}
+    assert got == {(a, min(x for x, _ in rows if x // 1000 == a // 1000), 60) for a, _ in rows if a % 1000 < 500}
+    assert len(tables) < 40
+
+
+@pytest.mark.parametrize("small", [0, 15, 45, 10_000])
+def test_pieces_of_any_size_give_the_same_components(spark, small):
+    rng = random.Random(small)
+    rows = [(f"{g}/{rng.randrange(n)}", f"{g}/{rng.randrange(n)}") for g, n in enumerate((3, 8, 8, 12, 30, 40)) for _ in range(int(n * 1.4))]
+    got = {tuple(r) for r in components.strong_components(spark.createDataFrame(rows, "source string, target string"), small).collect()}
+    assert got == set(flows.strong_components(pd.DataFrame(rows, columns=["source", "target"])).itertuples(index=False, name=None))
+
+
+def test_pieces_are_what_edges_connect(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + k, 1001 + k) for k in range(400)] + [(5000, k) for k in range(5001, 5100)]
+    root = list(range(6000))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in rows:
+        root[top(a)] = top(b)
+    edges = spark.createDataFrame(rows, "source long, target long")
+    hashes = {r.h: r.id for r in edges.selectExpr("explode(array(source, target)) as id").selectExpr("id", "xxhash64(id) as h").collect()}
+    met: dict = {}
+    for r in components.pieces(edges).collect():
+        met.setdefault(r.piece, set()).add(hashes[r.node])
+    want: dict = {}
+    for x in {x for a, b in rows if a != b for x in (a, b)}:
+        want.setdefault(top(x), set()).add(x)
+    assert sorted(map(sorted, met.values())) == sorted(map(sorted, want.values()))
+
+
 def plain_match(template: str, path: str) -> bool:
     clean = lambda p: [s for s in re.sub(r"^[a-z]+://[^/]*", "", re.split(r"[?#]", p)[0]).split("/") if s]
     a, b = clean(template), clean(path)

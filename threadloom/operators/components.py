@@ -1,5 +1,8 @@
 """Strongly connected components of one graph of any size, as joins.
 
+What no edge connects, in whichever direction, is told apart first (its pieces), by contraction. A piece of at most SMALL edges is whole in one task, many
+to a task; others go through rounds over all of them. A cycle lies within one piece, so either way gives the components of the whole graph.
+
 Rounds of trimming take away nodes that nothing leads to, or that lead nowhere: no cycle holds them. Of what is left, each node takes the smallest
 id that leads to it (its colour), by propagation along edges; a node whose colour is its own is a root, and what leads back to a root within its colour
 is its component. Components are taken out, and the rest is coloured anew. Every round is a written table; none is collected.
@@ -7,6 +10,8 @@ is its component. Components are taken out, and the rest is coloured anew. Every
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +21,8 @@ from threadloom.plans.stages import drop_written, written
 
 #: Rounds of trimming before each colouring.
 TRIMS = 3
+#: Edges of a piece up to which one task holds it whole; edges of the pieces that are solved together, about.
+SMALL, BATCH = 100_000, 20_000
 
 
 def _replaced(new: DataFrame, old: DataFrame, name: str) -> DataFrame:
@@ -48,9 +55,51 @@ def coloured(edges: DataFrame) -> DataFrame:
             return colours
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def pieces(edges: DataFrame) -> DataFrame:
+    """(node, piece): what edges connect, regardless of direction, by hashes of ids. Each round a node joins the least of itself and its neighbours, in an
+    order of that round; edges between what they joined are left. That shrinks the nodes by a share a round, so all rounds together read a few times the
+    edges. Nodes that share a hash make a piece larger, no less whole."""
+    now = written(edges.select(F.xxhash64("source").alias("a"), F.xxhash64("target").alias("b")).where("a <> b"), "scc-links")
+    rng = random.Random(17)
+    steps: list[DataFrame] = []
+    while not now.isEmpty():
+        mixed = lambda c, by=F.lit(rng.getrandbits(63)): F.col(c).bitwiseXOR(by)
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min(mixed("b")).alias("least")).select("a", F.least("least", mixed("a")).alias("least"))
+        steps.append(written(least.select("a", mixed("least").alias("to")), "scc-joined"))
+        ends = now.join(steps[-1].withColumnRenamed("to", "x"), "a").join(steps[-1].select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
+        now = _replaced(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), now, "scc-links")
+    out = steps[-1] if steps else now.select("a", F.col("b").alias("to"))
+    for step in reversed(steps[:-1]):
+        out = step.join(out.select(F.col("a").alias("to"), F.col("to").alias("last")), "to", "left").select("a", F.coalesce("last", "to").alias("to"))
+    out = written(out.select(F.col("a").alias("node"), F.col("to").alias("piece")), "scc-pieces")
+    drop_written(now, *steps)
+    return out
+
+
+def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(id, component, size) of the components of over one node of edges (source, target); a component is named by its smallest id."""
-    left = written(edges.select("source", "target").where("source <> target and source is not null and target is not null").distinct(), "scc-edges")
+    every = written(edges.select("source", "target").where("source <> target and source is not null and target is not null").distinct(), "scc-edges")
+    parts = pieces(every)
+    placed = every.withColumn("node", F.xxhash64("source")).join(parts, "node", "left").select("source", "target", F.coalesce("piece", "node").alias("piece"))
+    placed = written(placed, "scc-placed")
+    large = written(placed.groupBy("piece").count().where(F.col("count") > small).select("piece"), "scc-large")
+    kind = every.schema["source"].dataType.simpleString()
+    groups = F.expr(f"pmod(xxhash64(piece), {placed.count() // BATCH + 1})").alias("group")
+    whole = placed.join(F.broadcast(large), "piece", "left_anti").select("source", "target", groups)
+    found = whole.groupBy("group").applyInPandas(flows.strong_components, f"id {kind}, component {kind}, size long")
+    rounds = None
+    if not large.isEmpty():
+        rounds = in_rounds(placed.join(F.broadcast(large), "piece", "left_semi").select("source", "target"))
+        found = found.unionByName(rounds)
+    out = written(found, "scc")
+    drop_written(every, parts, placed, large, rounds)
+    return out
+
+
+def in_rounds(edges: DataFrame) -> DataFrame:
+    """strong_components() of distinct edges between different nodes, by rounds over all of them."""
+    left = written(edges, "scc-edges")
     found: list[DataFrame] = []
     while not (left := trimmed(left)).isEmpty():
         colours = coloured(left)

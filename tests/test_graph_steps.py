@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadloom.operators import flows, graph, redaction
+from threadloom.operators import flows, graph, overview, redaction
 from threadloom.sources import tables as T
 
 
@@ -76,3 +76,18 @@ def test_texts_are_python_objects_a_few_at_a_time(spark, monkeypatch):
     assert {r.key: r.preview for r in shown.collect()} == {k: None if k == 4 else f"{k} [REDACTED] {k}" for k in range(20)}
     sizes = shown.mapInArrow(lambda it: (__import__("pyarrow").RecordBatch.from_pydict({"n": [b.num_rows]}) for b in it), "n long")
     assert sizes.agg(F.sum("n")).first()[0] == 20
+
+
+def test_graphs_are_not_shuffled_to_meet_a_bounded_frontier(spark, monkeypatch):
+    """A layer's ids are a few hundred at most: the joins of the neighbourhood and of the overview send them to the edges and nodes."""
+    rows = [(f"n{k}", f"n{(k * 3 + j) % 60}") for k in range(50) for j in (1, 2)]
+    edges = frame(spark, rows).selectExpr("concat(source, '>', target) as id", "source", "target", "'contains' as kind", "'declared' as evidence")
+    nodes = spark.createDataFrame([(f"n{k}", "class", f"N{k}", f"src/{k}.ts") for k in range(60)], "id string, kind string, label string, file_path string")
+    plans = []
+    monkeypatch.setattr(graph, "touching", lambda e, f, plain=graph.touching: plans.append(plain(e, f)) or plans[-1])
+    monkeypatch.setattr(overview, "touching", graph.touching)
+    found, kept, _ = graph.neighborhood(nodes, edges, ["n1"], depth=3)
+    assert found.count() > 5 and overview.overview(nodes, edges).count() > 5 and len(plans) > 3
+    for df in [*plans, found, kept]:
+        physical = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in physical and "BroadcastHashJoin" in physical

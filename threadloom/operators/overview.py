@@ -51,7 +51,7 @@ def overview(nodes: DataFrame, edges: DataFrame, limit: int = 60, depth: int = 2
     if not given:
         edges = written(edges.select("id", "source", "target", "kind", "evidence"), "overview-edges")  # asked by the seeds and each layer
     usable = edges.where(F.col("kind").isin(*OVERVIEW_EDGES) & ~((F.col("kind") == "resolvesTo") & (F.col("evidence") == "inferred")))
-    ids = lambda values: spark.createDataFrame([(v,) for v in values], "id string")
+    ids = lambda values: F.broadcast(spark.createDataFrame([(v,) for v in values], "id string"))
     selected = {r["id"] for r in seeds(nodes, edges, limit).collect()}
     frontier, kept = sorted(selected), set()
     for _ in range(min(depth, 4)):

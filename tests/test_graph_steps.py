@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadloom.operators import flows, graph, overview, redaction
+from threadloom.operators import flows, graph, navigation, overview, redaction
 from threadloom.sources import tables as T
 
 
@@ -91,3 +91,25 @@ def test_graphs_are_not_shuffled_to_meet_a_bounded_frontier(spark, monkeypatch):
     for df in [*plans, found, kept]:
         physical = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in physical and "BroadcastHashJoin" in physical
+
+
+def test_hashed_ids_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    """A task's hashed table holds a bounded number of ids, whatever the number of shuffle partitions is."""
+    monkeypatch.setattr(graph, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(graph, "HASHED_IDS", 5, raising=False)
+    ids = spark.createDataFrame([(f"n{k}",) for k in range(200)], "id string")
+    rows = frame(spark, [(f"n{k % 300}", f"n{k}") for k in range(900)])
+    joined = rows.join(graph.near(ids).withColumnRenamed("id", "source"), "source", "left_semi")
+    assert joined.count() == 600 and joined.rdd.getNumPartitions() == 40
+    assert "ShuffledHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nodes_are_not_dealt_by_file_to_meet_its_change(spark):
+    nodes = spark.createDataFrame([(f"n{k}", "class", f"N{k}", f"src/{k % 3}.ts") for k in range(60)], "id string, kind string, label string, file_path string")
+    edges = frame(spark, [(f"n{k}", f"n{k + 1}") for k in range(59)]).selectExpr("concat(source, '>', target) as id", "*")
+    changes = spark.createDataFrame([("src/1.ts", "insert"), ("src/9.ts", "delete")], "file_path string, change string")
+    found, links = navigation.change_projection(nodes, edges, changes)
+    assert {r.id: r.change for r in found.collect()} == {f"n{k}": "insert" if k % 3 == 1 else None for k in range(59)} | {"git-change:src/1.ts": "insert", "git-change:src/9.ts": "delete"}
+    assert links.where("kind = 'changedIn'").count() == 20
+    for df in (found, links):
+        assert "hashpartitioning(file_path" not in df._jdf.queryExecution().executedPlan().toString()

@@ -150,7 +150,8 @@ def change_kind(index: Column, tree: Column, conflicted: Column) -> Column:
 def change_projection(nodes: DataFrame, edges: DataFrame, changes: DataFrame, focus: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of what leads to changed files (file_path, change), with a marker for each file. Only `focus` and its ancestry if that
     is a node of a changed file."""
-    changed = nodes.join(changes, "file_path").select("id", "file_path", "change")
+    changes = written(changes, "changes")  # asked by nodes, markers and links; files have many nodes, so nodes aren't dealt by file
+    changed = nodes.join(graph.near(changes, "file_path"), "file_path").select("id", "file_path", "change")
     if focus is not None and not (one := changed.where(F.col("id") == focus)).isEmpty():
         changed = one
     ids = written(graph.reachable(graph.reverse(edges), changed.select("id").distinct()).select("id"), "led")  # layers hold an id once
